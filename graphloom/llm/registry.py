@@ -10,12 +10,14 @@ from graphloom.llm.language_id import op2_language_id
 from graphloom.llm.ngram_join import op1_ngram_jaccard_join
 from graphloom.llm.quality import op3_quality_rules
 from graphloom.llm.substring_dedup import op4_substring_dedup
+from graphloom.llm.toxicity import op10_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op3_quality_rules": op3_quality_rules,
     "op2_language_id": op2_language_id,
     "op4_substring_dedup": op4_substring_dedup,
+    "op10_toxicity": op10_toxicity,
 }
 
 ORACLE_SQL: dict[str, str] = {}
