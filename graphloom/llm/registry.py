@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from graphloom.llm.language_id import op2_language_id
+from graphloom.llm.line_dedup import OP5_SQL, op5_line_dedup
 from graphloom.llm.ngram_join import op1_ngram_jaccard_join
 from graphloom.llm.quality import op3_quality_rules
 from graphloom.llm.substring_dedup import op4_substring_dedup
@@ -18,6 +19,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_language_id": op2_language_id,
     "op4_substring_dedup": op4_substring_dedup,
     "op10_toxicity": op10_toxicity,
+    "op5_line_dedup": op5_line_dedup,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op5_line_dedup": OP5_SQL,
+}
