@@ -10,6 +10,7 @@ from graphloom.llm.language_id import op2_language_id
 from graphloom.llm.line_dedup import OP5_SQL, op5_line_dedup
 from graphloom.llm.ngram_join import op1_ngram_jaccard_join
 from graphloom.llm.quality import op3_quality_rules
+from graphloom.llm.secret_scan import op6_secret_scan
 from graphloom.llm.substring_dedup import op4_substring_dedup
 from graphloom.llm.toxicity import op10_toxicity
 
@@ -20,6 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_substring_dedup": op4_substring_dedup,
     "op10_toxicity": op10_toxicity,
     "op5_line_dedup": op5_line_dedup,
+    "op6_secret_scan": op6_secret_scan,
 }
 
 ORACLE_SQL: dict[str, str] = {
