@@ -11,6 +11,7 @@ from graphloom.llm.line_dedup import OP5_SQL, op5_line_dedup
 from graphloom.llm.ngram_join import op1_ngram_jaccard_join
 from graphloom.llm.quality import op3_quality_rules
 from graphloom.llm.secret_scan import op6_secret_scan
+from graphloom.llm.sharding import op7_minimax_shards
 from graphloom.llm.substring_dedup import op4_substring_dedup
 from graphloom.llm.toxicity import op10_toxicity
 
@@ -22,6 +23,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_toxicity": op10_toxicity,
     "op5_line_dedup": op5_line_dedup,
     "op6_secret_scan": op6_secret_scan,
+    "op7_minimax_shards": op7_minimax_shards,
 }
 
 ORACLE_SQL: dict[str, str] = {
