@@ -33,8 +33,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rows and bytes of an Arrow batch that a session gets unless it names its own: texts are long, and both the JVM and
+#: the worker hold several copies of a batch.
+BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    for key, value in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        if spark.conf.get(key, None) is None or spark.conf.get(key) == "10000":
+            spark.conf.set(key, value)
+
+
 def pick(df: DataFrame, **columns: str) -> DataFrame:
     """Only the columns an operator works on, under its own names: other columns, whatever they are called, cannot clash."""
+    bounded_batches(df.sparkSession)
     return df.select(*(df[old].alias(new) for new, old in columns.items()))
 
 
