@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from graphloom.llm.bpe import op8_bpe
 from graphloom.llm.language_id import op2_language_id
 from graphloom.llm.line_dedup import OP5_SQL, op5_line_dedup
 from graphloom.llm.ngram_join import op1_ngram_jaccard_join
@@ -24,6 +25,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_line_dedup": op5_line_dedup,
     "op6_secret_scan": op6_secret_scan,
     "op7_minimax_shards": op7_minimax_shards,
+    "op8_bpe": op8_bpe,
 }
 
 ORACLE_SQL: dict[str, str] = {
