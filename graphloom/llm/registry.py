@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from graphloom.llm.bpe import op8_bpe
+from graphloom.llm.decontamination import op9_decontamination
 from graphloom.llm.language_id import op2_language_id
 from graphloom.llm.line_dedup import OP5_SQL, op5_line_dedup
 from graphloom.llm.ngram_join import op1_ngram_jaccard_join
@@ -26,6 +27,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_secret_scan": op6_secret_scan,
     "op7_minimax_shards": op7_minimax_shards,
     "op8_bpe": op8_bpe,
+    "op9_decontamination": op9_decontamination,
 }
 
 ORACLE_SQL: dict[str, str] = {

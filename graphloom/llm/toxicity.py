@@ -9,7 +9,6 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from graphloom.llm import kernels as K
 from graphloom.llm.common import pick, table
@@ -202,15 +201,16 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", te
     sample = labelled_sample(base, pick(labels, id=id_column, toxic=label_column), training_rows, "toxic")
     model = fit_toxicity(K.as_array(sample["text"]), np.asarray(sample["label"]))
 
-    @F.pandas_udf("boolean")
-    def toxic(texts):  # type: ignore[no-untyped-def]
-        import pandas as pd
+    place = docs.columns.index(text_column)
 
-        column = pa.array(texts, pa.string(), from_pandas=True)
-        out = [expected_severity(_sparse_margin(model, column[lo:hi]), model.cuts) >= model.reject_at for lo, hi in K.slices(column)]
-        return pd.Series(np.concatenate(out) if out else np.zeros(0, dtype=bool))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(place)
+            for lo, hi in K.slices(texts):
+                toxic = expected_severity(_sparse_margin(model, texts[lo:hi]), model.cuts) >= model.reject_at
+                yield batch.slice(lo, hi - lo).filter(pa.array(~toxic | np.asarray(texts[lo:hi].is_null())))
 
-    return docs.where(~F.coalesce(toxic(F.col(text_column)), F.lit(False)))
+    return docs.mapInArrow(run, docs.schema)
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
