@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 
 from graphloom.functions import text as X
 from graphloom.operators import evaluate as E
+from graphloom.operators import extract
 from graphloom.operators import graph as G
 from graphloom.operators import hashing as H
 from graphloom.operators import index_build as D
@@ -16,8 +18,9 @@ from graphloom.operators import lookup as L
 from graphloom.operators import search as S
 from graphloom.operators import telemetry as T
 from graphloom.operators import vectors as V
-from graphloom.plans.session import small
+from graphloom.plans.session import shared_folder, small
 from graphloom.sources.driver import LINK_EDGES_SQL, document_files, link_edges, page_links, page_tags, part_symbols, table
+from graphloom.streaming import refresh as R
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -490,3 +493,51 @@ def case_match(spark: SparkSession, sf: str) -> DataFrame:
 def json_arguments(spark: SparkSession, sf: str) -> DataFrame:
     k = F.from_json("props", "map<string,string>")["k"].cast("int")
     return table(spark, sf, "events").groupBy("event_type").agg(F.avg(k).alias("mean_k"), F.count(F.lit(1)).alias("n"))
+
+
+# extraction and streaming: rows only, tests hold them against snippets --------------------------
+
+
+def _sources(spark: SparkSession, sf: str) -> DataFrame:
+    """A source text for each supplier, calling what its parts' names say, importing its nation's file."""
+    sup = table(spark, sf, "supplier").select("s_suppkey", "s_nationkey")
+    parts = table(spark, sf, "lineitem").select("l_suppkey", "l_partkey").distinct().where("l_partkey % 10 = 0").join(table(spark, sf, "part").select("p_partkey", F.regexp_replace("p_name", "[^A-Za-z]", "_").alias("f")), F.col("l_partkey") == F.col("p_partkey"))
+    calls = parts.groupBy(F.col("l_suppkey").alias("s_suppkey")).agg(F.array_join(F.array_sort(F.collect_set(F.concat("f", F.lit("(x);")))), " ").alias("body"))
+    text = F.concat(F.lit("import { n } from '../nation/n"), F.col("s_nationkey").cast("string"), F.lit("';\nexport function supplier"), F.col("s_suppkey").cast("string"), F.lit("(x: Input): Output { "), F.coalesce("body", F.lit("")), F.lit(" bus.emit('sold'); }\n"))
+    path = lambda folder, c: F.concat(F.lit(folder), F.col(c).cast("string"), F.lit(".ts"))
+    nations = table(spark, sf, "nation").select(path("server/nation/n", "n_nationkey").alias("path"), F.concat(F.lit("export const n = () => start('"), "n_name", F.lit("');\n")).alias("content"))
+    return sup.join(calls, "s_suppkey", "left").select(path("server/supplier/s", "s_suppkey").alias("path"), text.alias("content")).unionByName(nations)
+
+
+_CALLED_SQL = """WITH s AS (SELECT s_suppkey, s_nationkey FROM supplier), p AS (SELECT DISTINCT l_suppkey, regexp_replace(p_name, '[^A-Za-z]', '_', 'g') AS f FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_partkey % 10 = 0)"""
+
+
+@query(_CALLED_SQL + " SELECT 'supplier' || l_suppkey::VARCHAR AS src, f AS dst FROM p")
+def extracted_calls(spark: SparkSession, sf: str) -> DataFrame:
+    files = _sources(spark, sf).withColumn("file_ord", F.lit(0))
+    edges = D.edges_of(extract.symbols_of(extract.scan_files(files), files))
+    return edges.where("edge_type = 'call' and src like 'supplier%'").select("src", "dst")
+
+
+@query("SELECT 'server/supplier/s' || s_suppkey::VARCHAR || '.ts' AS importer, 'server/nation/n' || s_nationkey::VARCHAR || '.ts' AS resolved FROM supplier")
+def extracted_imports(spark: SparkSession, sf: str) -> DataFrame:
+    files = _sources(spark, sf)
+    return extract.imports_of(extract.scan_files(files), files).select("importer", "resolved")
+
+
+@query("SELECT 'function' AS type, count(*) AS n FROM supplier UNION ALL SELECT 'variable_function', count(*) FROM nation")
+def extracted_symbols(spark: SparkSession, sf: str) -> DataFrame:
+    files = _sources(spark, sf).withColumn("file_ord", F.lit(0))
+    return extract.symbols_of(extract.scan_files(files), files).groupBy("type").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT 'supplier' || s_suppkey::VARCHAR AS name, 'server/supplier/s' || s_suppkey::VARCHAR || '.ts' AS file FROM supplier UNION ALL SELECT 'n', 'server/nation/n' || n_nationkey::VARCHAR || '.ts' FROM nation")
+def streaming_refresh(spark: SparkSession, sf: str) -> DataFrame:
+    """Sources arrive as files of a stream in two batches; the newest snapshot's symbols are those of all sources."""
+    base = f"{shared_folder(spark)}/refresh-{uuid.uuid4().hex}"
+    files = _sources(spark, sf).repartition(2, "path")
+    for half in (0, 1):
+        files.where(F.pmod(F.xxhash64("path"), F.lit(2)) == half).write.mode("append").parquet(f"{base}/in")
+        stream = spark.readStream.schema("path string, content string").parquet(f"{base}/in")
+        R.watch(stream, f"{base}/index", f"{base}/state").awaitTermination()
+    return R.read_snapshot(spark, f"{base}/index")["symbols"].select("name", "file")
