@@ -51,14 +51,14 @@ def conversation(lines: DataFrame) -> DataFrame:
     kinds = kinds.withColumn("segment", F.sum(begins.cast("int")).over(window))
     ordered = F.array_sort(F.collect_list(F.struct("pos", "kind", "line")))
     segments = kinds.groupBy("session_id", "segment").agg(ordered.alias("rows"), F.min("pos").alias("pos"))
-    opener = F.element_at("rows", 1)["kind"]
+    opener = F.get("rows", F.lit(0))["kind"]
     shown = F.transform("rows", lambda r: r["line"])
-    header = F.element_at(F.filter("rows", lambda r: r["kind"] == "header"), 1)["line"]
+    header = F.get(F.filter("rows", lambda r: r["kind"] == "header"), F.lit(0))["line"]
     kind = F.when(opener == "open", "box").when(opener == "prompt", "user").when(opener == "answer", "ai")
     key = (
         F.when(opener == "open", F.substring(F.regexp_replace(F.trim(header), r"\s+", " "), 1, 160))
-        .when(opener == "prompt", F.trim(F.element_at(shown, 1)))
-        .otherwise(F.substring(F.trim(F.element_at(shown, 1)), 1, 80))
+        .when(opener == "prompt", F.trim(F.get(shown, F.lit(0))))
+        .otherwise(F.substring(F.trim(F.get(shown, F.lit(0))), 1, 80))
     )
     segments = segments.where("size(rows) > 0").select("session_id", "pos", kind.alias("kind"), key.alias("key"), F.array_join(shown, "\n").alias("content")).where("kind is not null and key is not null")
     return last_content(segments, "key", "pos", "content", "session_id", "kind").select("session_id", "first", "kind", "key", "content")
