@@ -21,7 +21,7 @@ from graphloom.llm.common import cut, pick, table
 SHARDS = 64
 #: Summaries of the first look, and how much finer each further look is.
 RUNS = 1 << 14
-FINER = 256
+FINER = 32
 
 
 @dataclass(frozen=True)
@@ -90,7 +90,7 @@ def minimax_cuts(groups: DataFrame, shards: int = SHARDS, runs_at_first: int = R
 
     def look(part: DataFrame, width: int) -> Runs:
         at = part.groupBy(F.floor(F.col("begin") / F.lit(width)).alias("run")).agg(F.min("begin"), F.max("begin"), F.max(F.col("begin") + F.col("size")))
-        rows = np.array([(r[1], r[2], r[3]) for r in at.collect()], dtype=np.int64).reshape(-1, 3)
+        rows = np.column_stack([np.asarray(c, dtype=np.int64) for c in at.toArrow().columns[1:]])
         rows = rows[np.argsort(rows[:, 0], kind="stable")]
         return Runs(rows[:, 0], rows[:, 2], rows[:, 0] == rows[:, 1])
 
