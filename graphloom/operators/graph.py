@@ -38,7 +38,8 @@ def check_types(edge_types: list[str] | None) -> list[str] | None:
 
 def reach(edges: DataFrame, starts: DataFrame, depth: int | None) -> DataFrame:
     """(root, node, hop): every node within depth hops (None: all) of the starts (root, node), at its smallest hop."""
-    steps = edges.select("src", "dst").distinct()
+    # not made distinct: what a level reaches is, and that is far less than all edges
+    steps = edges.select("src", "dst")
     level = visited = cut(starts.select("root", "node").distinct().withColumn("hop", F.lit(0)))
     hop = 0
     while depth is None or hop < depth:

@@ -157,18 +157,18 @@ def _start(spark: SparkSession, node: str) -> DataFrame:
 
 @query(_DOWN_SQL.format(start="c7", depth=4, types="") + " SELECT hop::INTEGER AS hop, count(*) AS n, min(node) AS first_node FROM m GROUP BY 1")
 def graph_down_reach(spark: SparkSession, sf: str) -> DataFrame:
-    found = G.down_reach(link_edges(spark, sf), _start(spark, "c7"), 4)
+    found = G.down_reach(link_edges(spark, sf, False), _start(spark, "c7"), 4)
     return found.groupBy("hop").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("first_node"))
 
 
 @query(_DOWN_SQL.format(start="c7", depth=4, types=" AND e.edge_type IN ('call', 'new')") + " SELECT node, hop::INTEGER AS hop FROM m")
 def graph_down_typed(spark: SparkSession, sf: str) -> DataFrame:
-    return G.down_reach(link_edges(spark, sf), _start(spark, "c7"), 4, ["call", "new"]).select("node", "hop")
+    return G.down_reach(link_edges(spark, sf, False), _start(spark, "c7"), 4, ["call", "new"]).select("node", "hop")
 
 
 @query(_UP_SQL.format(start="s1", depth=3, types="") + " SELECT hop::INTEGER AS hop, count(*) AS n, min(node) AS first_node FROM m GROUP BY 1")
 def graph_up_reach(spark: SparkSession, sf: str) -> DataFrame:
-    found = G.up_reach(link_edges(spark, sf), _start(spark, "s1"), 3)
+    found = G.up_reach(link_edges(spark, sf, False), _start(spark, "s1"), 3)
     return found.groupBy("hop").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("first_node"))
 
 
@@ -179,7 +179,7 @@ def graph_up_reach(spark: SparkSession, sf: str) -> DataFrame:
 )
 def impact_by_hop(spark: SparkSession, sf: str) -> DataFrame:
     order = F.when(F.col("edge_type") == "call", 1).when(F.col("edge_type") == "event_emit", 2).when(F.col("edge_type") == "event_listen", 3).when(F.col("edge_type") == "jsx", 4).when(F.col("edge_type") == "new", 5).otherwise(6)
-    edges = link_edges(spark, sf).withColumns({"file": F.lit("all"), "ord": order.cast("bigint")})
+    edges = link_edges(spark, sf, False).withColumns({"file": F.lit("all"), "ord": order.cast("bigint")})
     none = spark.createDataFrame([], "importer string, module string, resolved string")
     start = spark.createDataFrame([("n3", "all")], "symbol string, file string")
     return G.impact_summary(G.impact(edges, none, start, 3)).select("hop", "label", "edge_type", "n")
@@ -191,7 +191,7 @@ def impact_by_hop(spark: SparkSession, sf: str) -> DataFrame:
     SELECT root, file, min(distance)::INTEGER AS distance FROM r GROUP BY 1, 2"""
 )
 def import_distance(spark: SparkSession, sf: str) -> DataFrame:
-    imports = link_edges(spark, sf).where(F.col("edge_type").isin("jsx", "event_emit", "event_listen")).select(F.col("src").alias("importer"), F.lit("m").alias("module"), F.col("dst").alias("resolved"))
+    imports = link_edges(spark, sf, False).where(F.col("edge_type").isin("jsx", "event_emit", "event_listen")).select(F.col("src").alias("importer"), F.lit("m").alias("module"), F.col("dst").alias("resolved"))
     regions = table(spark, sf, "region").select(F.concat(F.lit("r"), F.col("r_regionkey").cast("string")).alias("root"))
     return G.import_distances(imports, regions.withColumn("node", F.col("root")))
 

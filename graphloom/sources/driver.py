@@ -23,12 +23,13 @@ LINKS = [
 ]
 
 
-def link_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(src, dst, edge_type): one typed edge for each foreign key pair."""
+def link_edges(spark: SparkSession, sf_dir: str, distinct: bool = True) -> DataFrame:
+    """(src, dst, edge_type): one typed edge for each foreign key pair, or one for each row that has it."""
 
     def one(name: str, a: str, x: str, b: str, y: str, kind: str) -> DataFrame:
         key = lambda letter, column: F.concat(F.lit(letter), F.col(column).cast("string"))
-        return table(spark, sf_dir, name).select(key(x, a).alias("src"), key(y, b).alias("dst"), F.lit(kind).alias("edge_type")).distinct()
+        edges = table(spark, sf_dir, name).select(key(x, a).alias("src"), key(y, b).alias("dst"), F.lit(kind).alias("edge_type"))
+        return edges.distinct() if distinct else edges
 
     return reduce(DataFrame.unionByName, (one(*link) for link in LINKS))
 
