@@ -31,8 +31,13 @@ def layer_or_all(rows: DataFrame, layer: str | None, *by: str, path: str = "path
     hit = in_layer(F.col(path), layer)
     if strict:
         return rows.where(hit)
-    window = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(1))
-    marked = rows.withColumn("__hit", hit).withColumn("__any", F.max(F.col("__hit").cast("int")).over(window))
+    marked = rows.withColumn("__hit", hit)
+    some = F.max(F.col("__hit").cast("int"))
+    if by:
+        marked = marked.withColumn("__any", some.over(Window.partitionBy(*by)))
+    else:
+        # one row, not a window: a window over everything would bring all rows to one task
+        marked = marked.crossJoin(F.broadcast(marked.agg(F.coalesce(some, F.lit(0)).alias("__any"))))
     return marked.where(F.col("__hit") | (F.col("__any") == 0)).drop("__hit", "__any")
 
 
@@ -115,7 +120,8 @@ def search(
 
     exact shuts out prefix, and either shuts out fuzzy; paths are always matched, without those
     of the tiers above; text is matched if the query has a dot, quote, blank or bracket; a hint
-    comes first. A table without rows means that nothing was found.
+    comes first. A table without rows means that nothing was found. Text matches are not limited
+    and have no rank.
     """
     if not query:
         raise ValueError("query is required")
@@ -123,7 +129,8 @@ def search(
     out, seen = empty, None
 
     def rows(df: DataFrame, tier: str, order: list, **columns) -> DataFrame:  # type: ignore[no-untyped-def]
-        rank = F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(*order))
+        # all tiers with an order are cut to a few rows, or are the files of one name
+        rank = F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(*order)) if order else F.lit(None)
         given = {"name": "string", "path": "string", "score": "double", "n": "bigint", "example": "string"}
         return df.select(F.lit(tier).alias("tier"), rank.cast("int").alias("rank"), *(columns.get(c, F.lit(None)).cast(t).alias(c) for c, t in given.items()))
 
@@ -151,5 +158,5 @@ def search(
     out = out.unionByName(rows(path_matches(files, query, seen, layer), "path", ["path"], path=F.col("path")))
     if wants_text(query):
         hits = layer_or_all(text_matches(files, query), layer)
-        out = out.unionByName(rows(hits, "text", ["path"], path=F.col("path"), n=F.col("n"), example=F.col("example")))
+        out = out.unionByName(rows(hits, "text", [], path=F.col("path"), n=F.col("n"), example=F.col("example")))
     return out

@@ -82,5 +82,5 @@ def render_impact(summary: DataFrame) -> str:
 def render_search(found: DataFrame) -> str:
     """search() as text, a line for each row, tiers in their order."""
     tiers = {t: k for k, t in enumerate(("hint", "exact", "prefix", "fuzzy", "path", "text"))}
-    rows = sorted(found.collect(), key=lambda r: (tiers[r["tier"]], r["rank"]))
+    rows = sorted(found.collect(), key=lambda r: (tiers[r["tier"]], r["rank"] or 0, r["path"] or ""))
     return "\n".join(f"[{r['tier']}] " + " ".join(str(r[c]) for c in ("name", "path", "n", "example") if r[c] is not None) for r in rows) or "no results"
