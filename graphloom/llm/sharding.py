@@ -109,17 +109,20 @@ def minimax_cuts(groups: DataFrame, shards: int = SHARDS, runs_at_first: int = R
         open_ = np.zeros(len(runs.begin) + 1, dtype=np.int64)
         np.add.at(open_, np.minimum(a, len(runs.begin)), 1)
         np.add.at(open_, np.minimum(np.maximum(a, b), len(runs.begin)), -1)
-        fine = np.flatnonzero((np.cumsum(open_)[:-1] > 0) & ~runs.whole)
-        if not len(fine):
-            fine = np.flatnonzero(~runs.whole)
+        wide = np.cumsum(open_)[:-1] > 0
+        if not (wide & ~runs.whole).any():
+            wide = ~runs.whole
         width = max(1, width // FINER)
-        edges = np.flatnonzero(np.diff(fine) > 1)
-        spans = zip(runs.begin[fine[np.concatenate(([0], edges + 1))]].tolist(), runs.end[fine[np.concatenate((edges, [len(fine) - 1]))]].tolist())
-        wanted = F.lit(False)
-        for begin, end in spans:
-            wanted = wanted | ((F.col("begin") >= begin) & (F.col("begin") < end))
-        finer = look(groups.where(wanted), width)
-        keep = np.setdiff1d(np.arange(len(runs.begin)), fine)
+        # one range for each cut at most; whole runs inside are read again, so that ranges do not fall apart
+        edge = np.flatnonzero(np.diff(np.concatenate(([False], wide, [False])).astype(np.int8)))
+        if len(edge) > 2 * shards:
+            edge = edge[[0, -1]]
+            wide[edge[0] : edge[1]] = True
+        ranges = [(F.col("begin") >= int(runs.begin[a])) & (F.col("begin") < int(runs.end[b - 1])) for a, b in zip(edge[::2], edge[1::2])]
+        while len(ranges) > 1:
+            ranges = [x | y for x, y in zip(ranges[::2], ranges[1::2])] + (ranges[-1:] if len(ranges) % 2 else [])
+        finer = look(groups.where(ranges[0]), width)
+        keep = np.flatnonzero(~wide)
         begin = np.concatenate((runs.begin[keep], finer.begin))
         order = np.argsort(begin, kind="stable")
         runs = Runs(begin[order], np.concatenate((runs.end[keep], finer.end))[order], np.concatenate((runs.whole[keep], finer.whole))[order])
