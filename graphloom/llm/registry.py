@@ -13,7 +13,7 @@ from graphloom.llm.line_dedup import OP5_SQL, op5_line_dedup
 from graphloom.llm.ngram_join import op1_ngram_jaccard_join
 from graphloom.llm.quality import op3_quality_rules
 from graphloom.llm.secret_scan import op6_secret_scan
-from graphloom.llm.sharding import op7_minimax_shards
+from graphloom.llm.sharding import OP7_SQL, op7_minimax_shards
 from graphloom.llm.substring_dedup import op4_substring_dedup
 from graphloom.llm.toxicity import op10_toxicity
 
@@ -32,4 +32,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLE_SQL: dict[str, str] = {
     "op5_line_dedup": OP5_SQL,
+    "op7_minimax_shards": OP7_SQL,
 }

@@ -176,10 +176,38 @@ def minimax_shards(docs: DataFrame, id_column: str = "doc_id", text_column: str
     placed = cut(running_sums(ranked, "rank", "size"))
     capacity, cuts = minimax_cuts(placed.select("begin", "size"), shards, runs_at_first)
     borders = F.array(*(F.lit(c).cast("long") for c in cuts)) if cuts else F.array().cast("array<long>")
-    shard = F.size(F.filter(borders, lambda c: c <= F.col("begin"))).cast("int")
+    shard = F.size(F.filter(borders, lambda c: c < F.col("begin") + F.col("size"))).cast("int")
     where = placed.select("low", "high", "none", "group_id", shard.alias("shard"))
     return key.join(where, ["low", "high", "none"]).select(F.col("id").alias("doc_id"), "group_id", "shard", F.lit(capacity).cast("long").alias("capacity"))
 
 
 def op7_minimax_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minimax_shards(table(spark, sf_dir, "documents"))
+
+
+#: The same by nested folds: the outer one halves the range of capacities, the inner one fills shards.
+OP7_SQL = f"""
+WITH RECURSIVE groups AS (
+    SELECT min(doc_id) AS group_id, sum(coalesce(octet_length(encode(text)), 0))::BIGINT AS size FROM documents GROUP BY text
+), placed AS (
+    SELECT group_id, size, row_number() OVER (ORDER BY group_id) AS place FROM groups
+), sizes AS (
+    SELECT list({{'used': 0::BIGINT, 'held': size}} ORDER BY place) AS sizes, max(size) AS largest, sum(size)::BIGINT AS total FROM placed
+), searched AS (
+    SELECT list_reduce(
+        list_transform(range(64), lambda k: {{'low': 0::BIGINT, 'high': 0::BIGINT}}),
+        lambda s, k: CASE
+            WHEN s.low >= s.high THEN s
+            WHEN list_reduce(sizes, lambda a, g: CASE WHEN a.held + g.held > (s.low + s.high) // 2 THEN {{'used': a.used + 1, 'held': g.held}} ELSE {{'used': a.used, 'held': a.held + g.held}} END, {{'used': 1::BIGINT, 'held': 0::BIGINT}}).used <= {SHARDS}
+                THEN {{'low': s.low, 'high': (s.low + s.high) // 2}}
+            ELSE {{'low': (s.low + s.high) // 2 + 1, 'high': s.high}} END,
+        {{'low': largest, 'high': total}}).low AS capacity
+    FROM sizes
+), walk AS (
+    SELECT 0::BIGINT AS place, 0 AS shard, 0::BIGINT AS held, -1::BIGINT AS group_id, (SELECT capacity FROM searched) AS capacity
+    UNION ALL
+    SELECT p.place, CASE WHEN w.held + p.size > w.capacity THEN w.shard + 1 ELSE w.shard END, CASE WHEN w.held + p.size > w.capacity THEN p.size ELSE w.held + p.size END, p.group_id, w.capacity
+    FROM walk w JOIN placed p ON p.place = w.place + 1
+)
+SELECT d.doc_id, w.group_id, w.shard::INTEGER AS shard, w.capacity FROM documents d JOIN (SELECT text, min(doc_id) AS group_id FROM documents GROUP BY text) g ON d.text IS NOT DISTINCT FROM g.text JOIN walk w ON w.group_id = g.group_id
+"""
