@@ -160,7 +160,8 @@ def minimax_shards(docs: DataFrame, id_column: str = "doc_id", text_column: str
 
     Documents of the same text form an atomic group: no shard border separates copies. Groups
     are ordered by their smallest doc_id (group_id) and weigh the bytes of all their texts; the
-    shards are contiguous in that order and the largest is as small as it can be (capacity).
+    shards are contiguous in that order and the largest is as small as it can be (capacity). A
+    group without bytes between two shards belongs to the first of them.
 
     Defined cases: a null text weighs nothing and all null texts are one group, as are all empty
     ones; null ids come last and share a group only with equal texts; repeated rows are rows of
