@@ -8,8 +8,9 @@ from dataclasses import dataclass, field
 
 from graphloom.functions.tslex import Token, lex
 
+#: Names of the language and its library, never callees.
 IGNORED = frozenset(
-    "console Math Object Array String Number JSON Promise Error setTimeout clearTimeout setInterval parseInt parseFloat require import super toString".split()
+    "Array clearTimeout console Error import JSON Math Number Object parseFloat parseInt Promise require setInterval setTimeout String super toString".split()
 )
 #: Language and library types that make no type edge.
 PLAIN_TYPES = frozenset(
