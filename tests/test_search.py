@@ -133,3 +133,22 @@ def test_telemetry(spark):
     assert T.totals(log).first()[:] == (3, 3, 10.0)
     assert T.repeat_rate(log).first()[:] == (1, 1, 1.0) and T.repeat_rate(log.limit(0)).first()["rate"] == 0.0
     assert T.hot_symbols(log).first()["hits"] == 2
+
+
+def test_output_paths_and_ranked_files(spark):
+    from graphloom.sources.files import output_path
+
+    paths = spark.createDataFrame([("a/b.ts",), ("a/c.tsx",)], "p string").select(output_path(F.col("p"), "mapping.json").alias("o"))
+    assert [r["o"] for r in paths.collect()] == ["a/b.mapping.json", "a/c.mapping.json"]
+    symbols = spark.createDataFrame([("f", "one.ts", 0, 0), ("f", "two.ts", 1, 0), ("g", "one.ts", 0, 1)], SYMBOL)
+    imports = spark.createDataFrame([("app/Main.tsx", "./two", "two.ts")], "importer string, module string, resolved string")
+    assert [r["file"] for r in L.ranked_files(symbols, imports, "f", "main.ts").collect()] == ["two.ts", "one.ts"]
+    assert [r["file"] for r in L.ranked_files(symbols, imports, "f", None).collect()] == ["one.ts", "two.ts"]
+
+
+def test_impact_text(spark):
+    from graphloom.operators.graph import impact_summary
+
+    states = spark.createDataFrame([(1, f"s{k:02}", "f", "call") for k in range(17)] + [(3, "z", "f", "jsx")], "hop int, symbol string, file string, edge_type string")
+    text = render.render_impact(impact_summary(states)).splitlines()
+    assert text[0].startswith("direct call (17): s00, s01") and text[0].endswith("s14 … 2 more") and text[1] == "3-hop jsx (1): z"
