@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from graphloom.llm import kernels as K
 from graphloom.llm.common import cut, pick, table
@@ -177,11 +178,27 @@ def drop_repeated_lines(docs: DataFrame, id_column: str = "doc_id", text_column:
     """docs, all columns, each text without its repeated lines, and with __dropped, the number of lines it lost."""
     lines = repeated_lines(pick(docs, id=id_column, text=text_column), max_filter_bytes)
     drops = lines.groupBy("id").agg(F.collect_set("line").alias("__lines")).withColumnRenamed("id", "__id")
-    joined = docs.join(drops, docs[id_column] == F.col("__id"), "left")
+    columns = docs.columns
+    joined = docs.join(drops, docs[id_column] == F.col("__id"), "left").select(*(docs[c] for c in columns), "__lines")
+    place = columns.index(text_column)
 
-    hit = F.col("__lines").isNotNull()
-    kept = F.array_join(F.filter(F.split(F.col(text_column), "\n", -1), lambda x, k: ~F.array_contains(F.col("__lines"), k)), "\n")
-    return joined.withColumn(text_column, F.when(hit, kept).otherwise(F.col(text_column))).withColumn("__dropped", F.coalesce(F.size("__lines"), F.lit(0))).drop("__id", "__lines")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            drops = batch.column(len(columns))
+            texts = batch.column(place)
+            dropped = np.asarray(drops.value_lengths().fill_null(0)).astype(np.int32)
+            hit = np.flatnonzero(dropped)
+            if len(hit):
+                changed = texts.to_pylist()
+                for k in hit.tolist():
+                    gone = set(drops[k].as_py())
+                    changed[k] = "\n".join(x for n, x in enumerate(changed[k].split("\n")) if n not in gone)
+                texts = pa.array(changed, pa.string())
+            arrays = [texts if k == place else batch.column(k) for k in range(len(columns))]
+            yield pa.RecordBatch.from_arrays([*arrays, pa.array(dropped)], names=[*columns, "__dropped"])
+
+    # a set of line numbers for each text: a test of every line against a list would take the square of a long text's lines
+    return joined.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("__dropped", T.IntegerType())]))
 
 
 def line_dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", max_filter_bytes: int = MAX_FILTER_BYTES) -> DataFrame:
