@@ -35,8 +35,14 @@ MIN_COSINE = 0.4
 MIN_SHARED = 0.3
 #: Share of an item's content words, in order, that makes a leak: by itself, or along with the item's answer.
 STRONG, WEAK, ANSWER = 0.75, 0.5, 0.5
-#: Share of blocks that hold a term from which its words count as function words.
-COMMON = 0.01
+#: Share of blocks that hold a term from which its words count as function words, and blocks that it takes at least.
+#: Blocks that hold GRAM words of a benchmark item in a row are not counted: copies of a leak make no function words.
+COMMON, LEAST_COMMON = 0.01, 20
+GRAM = 4
+#: An item with fewer content words than this, or a smaller share of its words, is searched by all its words.
+FEW_WORDS, FEW_SHARE = 4, 0.25
+#: Bits of the filter of benchmark grams for each of its words, and bits at most.
+GRAM_BITS, MAX_GRAM_BITS = 256, 1 << 29
 #: Benchmark text that one search holds in every worker; a larger benchmark is searched in several.
 MAX_ITEM_BYTES = 32 << 20
 
@@ -62,16 +68,56 @@ def _distinct_terms(block: np.ndarray, terms: np.ndarray) -> tuple[np.ndarray, n
     return key // TERMS, key % TERMS
 
 
+def _grams(doc: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first word, hash) of every run of GRAM words of one text."""
+    m = len(words) - GRAM + 1
+    if m <= 0:
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    h = words[:m].copy()
+    for k in range(1, GRAM):
+        h = h * np.uint64(0x9E3779B97F4A7C15) + words[k : k + m]
+    at = np.flatnonzero(doc[:m] == doc[GRAM - 1 :])
+    return at, K.mix64(h[at])
+
+
+def _bits_of(h: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    return (h & np.uint64(8 * len(bits) - 1)).astype(np.int64)
+
+
+def gram_filter(words: int) -> np.ndarray:
+    """An empty filter for the grams of so many benchmark words."""
+    return np.zeros(min(max(1 << 16, 1 << (GRAM_BITS * max(words, 1) - 1).bit_length()), MAX_GRAM_BITS) // 8, dtype=np.uint8)
+
+
+def add_grams(bits: np.ndarray, texts: pa.Array) -> None:
+    for lo, hi in K.slices(texts):
+        at = _bits_of(_grams(*K.word_hashes(texts[lo:hi]))[1], bits)
+        np.bitwise_or.at(bits, at >> 3, (1 << (at & 7)).astype(np.uint8))
+
+
+def _copied_blocks(block: np.ndarray, doc: np.ndarray, words: np.ndarray, total: int, bits: np.ndarray) -> np.ndarray:
+    """Whether each block holds a word of a run that the benchmark holds too."""
+    first, h = _grams(doc, words)
+    at = _bits_of(h, bits)
+    first = first[(bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1]
+    out = np.zeros(total, dtype=bool)
+    out[block[first]] = True
+    out[block[first + GRAM - 1]] = True
+    return out
+
+
 @dataclass(frozen=True)
 class LatentSpace:
-    """basis[t]: the latent vector of a term, its idf included; common[t]: whether it is a function word's."""
+    """basis[t]: the latent vector of a term, its idf included; common[t]: whether it is a function word's; whole: the space in which no term is left out."""
 
     basis: np.ndarray
     common: np.ndarray
+    whole: LatentSpace | None = None
 
 
-def latent_space(docs: DataFrame, rank: int = RANK) -> LatentSpace:
-    """Fitted on every passage of docs (id, text)."""
+def latent_space(docs: DataFrame, bits: np.ndarray, rank: int = RANK) -> LatentSpace:
+    """Fitted on every passage of docs (id, text); bits: the filter of the benchmark's grams."""
+    shared = docs.sparkSession.sparkContext.broadcast(bits)
     pieces = 16
     rows = SKETCH_ROWS // pieces
 
@@ -79,6 +125,7 @@ def latent_space(docs: DataFrame, rank: int = RANK) -> LatentSpace:
         sketch, frequency, seen = np.zeros(SKETCH_ROWS * TERMS), np.zeros(TERMS, dtype=np.int64), 0
         held: list[np.ndarray] = []
         signs: list[np.ndarray] = []
+        bits = shared.value
 
         def flush() -> None:
             if held:
@@ -96,8 +143,9 @@ def latent_space(docs: DataFrame, rank: int = RANK) -> LatentSpace:
                 total = int(blocks.sum())
                 if not total:
                     continue
-                frequency += np.bincount(terms, minlength=TERMS)
-                seen += total
+                counted = ~_copied_blocks(block, doc, words, total, bits)
+                frequency += np.bincount(terms[counted[own]], minlength=TERMS)
+                seen += int(counted.sum())
                 # what a block goes to depends on its content, so a rerun gives the same sketch
                 mark = K.mix64(np.bincount(own, weights=(terms + 1) * (terms + 7) % 65521, minlength=total).astype(np.uint64) + np.uint64(total % 251))
                 row, sign = (mark % np.uint64(SKETCH_ROWS)).astype(np.int64), np.where(mark >> np.uint64(40) & np.uint64(1), 1.0, -1.0)
@@ -127,20 +175,28 @@ def latent_space(docs: DataFrame, rank: int = RANK) -> LatentSpace:
 
     schema = "piece int, data binary"
     sums = {r["piece"]: r["data"] for r in docs.mapInArrow(gather, schema).groupBy("piece").applyInArrow(add, schema).collect()}
+    none = np.zeros(TERMS, dtype=bool)
     if pieces not in sums:
-        return LatentSpace(np.zeros((TERMS, 1), np.float32), np.zeros(TERMS, dtype=bool))
+        nothing = np.zeros((TERMS, 1), np.float32)
+        return LatentSpace(nothing, none, LatentSpace(nothing, none))
     counts = np.frombuffer(sums[pieces], dtype=np.int64)
-    frequency, seen = counts[:-1], max(int(counts[-1]), 1)
-    common = frequency > COMMON * seen
+    frequency, seen = counts[:-1], int(counts[-1])
+    common = frequency > max(COMMON * seen, LEAST_COMMON)
+    # smoothed: positive for a term of every block, so that no item's vector is empty
+    idf = np.log(1 + (1 + seen) / (1 + frequency))
+    sketch = np.concatenate([np.frombuffer(sums[k], dtype=np.float32).reshape(rows, TERMS) for k in range(pieces)])
     # function words say which language a passage is in, not what it says: left in, they fill the leading directions
-    idf = np.where(common, 0.0, np.log((1 + seen) / (1 + frequency)))
-    sketch = np.concatenate([np.frombuffer(sums[k], dtype=np.float32).reshape(rows, TERMS) for k in range(pieces)]) * idf
+    return LatentSpace(_basis(sketch, np.where(common, 0.0, idf), rank), common, LatentSpace(_basis(sketch, idf, rank), none))
+
+
+def _basis(sketch: np.ndarray, idf: np.ndarray, rank: int) -> np.ndarray:
+    sketch = sketch * idf
     # right singular vectors by way of the small Gram matrix of the rows
     values, left = np.linalg.eigh(sketch @ sketch.T)
     top = np.argsort(-values)[:rank]
     top = top[values[top] > 1e-9 * max(values.max(), 1e-30)]
     right = (sketch.T @ left[:, top]) / np.sqrt(values[top])
-    return LatentSpace((right * idf[:, None]).astype(np.float32), common)
+    return (right * idf[:, None]).astype(np.float32)
 
 
 def common_subsequence(places: dict[int, int], n: int, words: list[int]) -> int:
@@ -177,21 +233,25 @@ def _places(words: list[int]) -> dict[int, int]:
     return dict(out)
 
 
-def prepare_items(ids: list[int], texts: list[str], space: LatentSpace) -> tuple[list[Item], np.ndarray]:
-    """Items that have words, and their unit vectors in the latent space."""
-    items, vectors = [], []
+def prepare_items(ids: list[int], texts: list[str], space: LatentSpace) -> list[tuple[LatentSpace, list[Item], np.ndarray]]:
+    """Items that have words, and their unit vectors: those searched by their content words in space, and those with few of them in space.whole."""
+    groups: tuple[tuple[LatentSpace, list, list], ...] = ((space, [], []), (space.whole, [], []))
     for item_id, text in zip(ids, texts):
         _, words = K.word_hashes(pa.array([text]))
         if not len(words):
             continue
         terms = _terms(words)
-        vector = space.basis[np.unique(terms)].sum(axis=0)
+        own = ~space.common[terms]
+        few = own.sum() < max(FEW_WORDS, FEW_SHARE * len(words))
+        of, items, vectors = groups[int(few)]
+        vector = of.basis[np.unique(terms)].sum(axis=0)
         _, ending = K.word_hashes(pa.array([answer_of(text)]))
-        content = words[~space.common[terms]] if (~space.common[terms]).sum() >= 4 else words
-        answer = ending[~space.common[_terms(ending)]] if (~space.common[_terms(ending)]).sum() >= 1 else ending
+        content = words if few else words[own]
+        kept = ending[~of.common[_terms(ending)]]
+        answer = kept if len(kept) else ending
         items.append(Item(int(item_id), len(words), _places(content.tolist()), len(content), _places(answer.tolist()), len(answer)))
         vectors.append(vector / max(float(np.linalg.norm(vector)), 1e-12))
-    return items, np.array(vectors, dtype=np.float32).reshape(len(items), space.basis.shape[1])
+    return [(of, items, np.array(vectors, dtype=np.float32).reshape(len(items), of.basis.shape[1])) for of, items, vectors in groups]
 
 
 def verify(item: Item, words: list[int]) -> tuple[float, bool, bool]:
@@ -201,6 +261,13 @@ def verify(item: Item, words: list[int]) -> tuple[float, bool, bool]:
     return share, answer, share >= STRONG or (share >= WEAK and answer)
 
 
+def verify_near(item: Item, words: list[int]) -> tuple[float, bool, bool]:
+    """verify() for an item of few content words: within one and a half times its length, for function words stand in any order anywhere, and from STRONG on."""
+    size, step = item.n + max(item.n // 2, 1), max(item.n // 4, 1)
+    share, answer, _ = max(verify(item, words[a : a + size]) for a in range(0, max(len(words) - size, 0) + step, step))
+    return share, answer, share >= STRONG
+
+
 def _term_table(items: list[Item], space: LatentSpace) -> np.ndarray:
     """Whether each item holds each content term."""
     out = np.zeros((len(items), TERMS), dtype=bool)
@@ -222,12 +289,34 @@ def _share_terms(at: np.ndarray, which: np.ndarray, edges: np.ndarray, terms: np
     return common >= MIN_SHARED * np.minimum(sizes, held.sum(axis=1)[which])
 
 
-def _search(docs: DataFrame, space: LatentSpace, items: list[Item], vectors: np.ndarray, min_cosine: float) -> DataFrame:
+def _holders(edges: np.ndarray, terms: np.ndarray, of: np.ndarray, held: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(passage, item) of all that share MIN_SHARED of the terms of the smaller of the two, whatever their cosine."""
+    filled = np.flatnonzero(np.diff(edges))
+    if not len(filled) or not len(held):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    joined = np.flatnonzero(of[1:] == of[:-1])
+    sizes = np.diff(edges)
+    both = sizes.copy()
+    both[joined] += sizes[joined + 1]
+    out = []
+    step = max(1, (16 << 20) // len(terms))
+    for lo in range(0, len(held), step):
+        part = held[lo : lo + step]
+        count = np.zeros((len(part), len(of)), dtype=np.int32)
+        count[:, filled] = np.add.reduceat(part[:, terms], edges[:-1][filled], axis=1, dtype=np.int32)
+        shared = count.copy()
+        shared[:, joined] += count[:, joined + 1]
+        which, at = np.nonzero((shared > 0) & (shared >= MIN_SHARED * np.minimum(both[None, :], part.sum(axis=1)[:, None])))
+        out.append((at, which + lo))
+    return np.concatenate([x[0] for x in out]), np.concatenate([x[1] for x in out])
+
+
+def _search(docs: DataFrame, groups: list[tuple[LatentSpace, list[Item], np.ndarray]], min_cosine: float) -> DataFrame:
     schema = "doc_id long, item_id long, cosine double, lcs double, answer boolean"
-    shared = docs.sparkSession.sparkContext.broadcast((space.basis, space.common, items, vectors, _term_table(items, space)))
+    shared = docs.sparkSession.sparkContext.broadcast([(space.basis, space.common, items, vectors, _term_table(items, space), space.whole is None) for space, items, vectors in groups if items])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        basis, common, items, vectors, held = shared.value
+        groups = shared.value
         for batch in batches:
             ids, texts = batch.column(0), batch.column(1)
             for lo, hi in K.slices(texts):
@@ -235,37 +324,42 @@ def _search(docs: DataFrame, space: LatentSpace, items: list[Item], vectors: np.
                 if not len(doc):
                     continue
                 block, blocks = _blocks(doc, hi - lo)
-                own, terms = _distinct_terms(block, _terms(words))
-                content = ~common[terms]
-                own, terms = own[content], terms[content]
+                every_own, every_term = _distinct_terms(block, _terms(words))
                 of = np.repeat(np.arange(hi - lo), blocks)
-                edges = np.searchsorted(own, np.arange(len(of) + 1))
-                filled = np.flatnonzero(np.diff(edges))
-                sums = np.zeros((len(of), basis.shape[1]), dtype=np.float32)
-                if len(filled):
-                    sums[filled] = np.add.reduceat(basis[terms], edges[:-1][filled], axis=0)
-                passage = sums.copy()
                 joined = np.flatnonzero(of[1:] == of[:-1])
-                passage[joined] += sums[joined + 1]
-                passage /= np.maximum(np.linalg.norm(passage, axis=1, keepdims=True), 1e-12)
-                cosine = passage @ vectors.T
-                at, which = np.nonzero(cosine >= min_cosine)
-                near = _share_terms(at, which, edges, terms, of, held) if len(at) else np.zeros(0, dtype=bool)
-                at, which = at[near], which[near]
-                if not len(at):
-                    continue
-                value = cosine[at, which]
                 first_word, first_block = np.searchsorted(doc, np.arange(hi - lo + 1)), np.concatenate(([0], np.cumsum(blocks)))
                 found: dict[tuple[int, int], tuple[float, float, bool]] = {}
-                for k in np.argsort(-value, kind="stable").tolist():
-                    d, item = int(of[at[k]]), items[which[k]]
-                    if (d, item.item_id) in found:
+                for basis, common, items, vectors, held, whole in groups:
+                    content = ~common[every_term]
+                    own, terms = every_own[content], every_term[content]
+                    edges = np.searchsorted(own, np.arange(len(of) + 1))
+                    filled = np.flatnonzero(np.diff(edges))
+                    sums = np.zeros((len(of), basis.shape[1]), dtype=np.float32)
+                    if len(filled):
+                        sums[filled] = np.add.reduceat(basis[terms], edges[:-1][filled], axis=0)
+                    passage = sums.copy()
+                    passage[joined] += sums[joined + 1]
+                    passage /= np.maximum(np.linalg.norm(passage, axis=1, keepdims=True), 1e-12)
+                    cosine = passage @ vectors.T
+                    if whole:
+                        # words that weigh little beside their neighbours': cosine says nothing, so all that share terms are compared
+                        at, which = _holders(edges, terms, of, held)
+                    else:
+                        at, which = np.nonzero(cosine >= min_cosine)
+                        near = _share_terms(at, which, edges, terms, of, held) if len(at) else np.zeros(0, dtype=bool)
+                        at, which = at[near], which[near]
+                    if not len(at):
                         continue
-                    start = first_word[d] + (at[k] - first_block[d]) * BLOCK_WORDS
-                    a, b = max(first_word[d], start - item.n), min(first_word[d + 1], start + 2 * BLOCK_WORDS + item.n)
-                    share, answer, leak = verify(item, words[a:b].tolist())
-                    if leak:
-                        found[d, item.item_id] = (float(value[k]), share, answer)
+                    value = cosine[at, which]
+                    for k in np.argsort(-value, kind="stable").tolist():
+                        d, item = int(of[at[k]]), items[which[k]]
+                        if (d, item.item_id) in found:
+                            continue
+                        start = first_word[d] + (at[k] - first_block[d]) * BLOCK_WORDS
+                        a, b = max(first_word[d], start - item.n), min(first_word[d + 1], start + 2 * BLOCK_WORDS + item.n)
+                        share, answer, leak = (verify_near if whole else verify)(item, words[a:b].tolist())
+                        if leak:
+                            found[d, item.item_id] = (float(value[k]), share, answer)
                 if found:
                     keys = list(found)
                     yield pa.RecordBatch.from_arrays(
@@ -288,7 +382,10 @@ def find_leaks(
     cosine is that of the passage and the item in the latent space, lcs the share of the item's
     content words found there in order, answer whether the item's last sentence is there. A pair
     is a leak from lcs STRONG on, or from WEAK on along with the answer. Every passage is
-    compared with every item.
+    compared with every item. Words of over COMMON of the blocks are function words and left
+    out; blocks that copy a benchmark item do not count there. An item that is left with few
+    words is searched by all of them, wherever its terms are shared, and is a leak from STRONG on
+    within one and a half times its length.
 
     Defined cases: null and wordless texts and items match nothing; null ids are reported as
     null; a repeated document row is reported again; of an item id that occurs twice each text
@@ -297,13 +394,20 @@ def find_leaks(
     docs = pick(docs, id=id_column, text=text_column)
     items = pick(benchmark, id=item_id_column, text=item_text_column).where(F.col("id").isNotNull() & F.col("text").isNotNull())
     size = items.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
-    space = latent_space(docs)
     parts = max(1, math.ceil(size / max_item_bytes))
+
+    def part_of(part: int) -> pa.Table:
+        return items.where(F.pmod(F.xxhash64("id"), F.lit(parts)) == part).orderBy("id").toArrow()
+
+    bits = gram_filter(size // 4)
+    held = part_of(0)
+    for part in range(parts):
+        add_grams(bits, K.as_array((part_of(part) if part else held)["text"]))
+    space = latent_space(docs, bits)
     found = []
     for part in range(parts):
-        rows = items.where(F.pmod(F.xxhash64("id"), F.lit(parts)) == part).orderBy("id").toArrow()
-        prepared, vectors = prepare_items(rows["id"].to_pylist(), rows["text"].to_pylist(), space)
-        found.append(_search(docs, space, prepared, vectors, min_cosine))
+        rows = part_of(part) if part else held
+        found.append(_search(docs, prepare_items(rows["id"].to_pylist(), rows["text"].to_pylist(), space), min_cosine))
     return reduce(DataFrame.unionByName, found)
 
 

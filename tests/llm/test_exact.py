@@ -494,6 +494,34 @@ def test_paraphrases_are_found_and_clean_texts_are_not(spark):
     assert kept == {k for k, _ in rows} - {d for d, _ in got}
 
 
+@pytest.mark.parametrize("share", [0.05, 0.3, 1.0])
+def test_hot_leaks_are_found(spark, share):
+    rng = random.Random(13)
+    vocabulary = [a + b for a in WORDS[:120] for b in WORDS[:40]]
+    varied = lambda n: " ".join(rng.choice(vocabulary) for _ in range(n))
+    item, rows, want = varied(40), [], set()
+    for k in range(1500):
+        a, b = varied(rng.randint(0, 60)), varied(60)
+        if rng.random() < share:
+            want.add(k)
+        rows.append((k, f"{a} {item} {b}" if k in want else f"{a} {b}"))
+    docs, benchmark = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(1, item), (2, varied(40))], "item_id long, text string")
+    assert {(r["doc_id"], r["item_id"]) for r in decontamination.find_leaks(docs, benchmark).collect()} == {(k, 1) for k in want}
+
+
+def test_leaks_in_three_short_texts_and_of_function_words(spark):
+    leak = "what is the name of the river that flows through the old town. It is the Arno."
+    rows = [(1, leak), (2, f"Question: {leak}"), (3, leak.upper())]
+    find = lambda docs, items: sorted(r["doc_id"] for r in decontamination.find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect())
+    assert find(rows, [(1, leak)]) == [1, 2, 3]
+    rng = random.Random(14)
+    function = "to be or not to be that is the question of it".split()
+    vocabulary = [a + b for a in WORDS[:120] for b in WORDS[:40]]
+    text = lambda: " ".join(rng.choice(function) if rng.random() < 0.3 else rng.choice(vocabulary) for _ in range(80))
+    item = " ".join(function)
+    assert find([(k, f"{text()} {item} {text()}" if k % 100 == 0 else text()) for k in range(600)], [(1, item)]) == [0, 100, 200, 300, 400, 500]
+
+
 # pipeline -------------------------------------------------------------------------------------
 
 
