@@ -12,7 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from graphloom.llm import kernels as K
@@ -95,11 +95,11 @@ def _chunk_spans(offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.
 
 
 def chunk_table(docs: DataFrame) -> DataFrame:
-    """(id, ord, start, length, low, high, again) of every chunk of docs (id, text): byte span in its text, 128-bit digest, whether the text held it before."""
+    """(id, body, ord, start, length, low, high, again) of every chunk of docs (id, text, body): byte span in its text, 128-bit digest, whether the text held it before."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, texts = batch.column(0), batch.column(1)
+            ids, texts, bodies = (batch.column(k) for k in range(3))
             for lo, hi in K.slices(texts):
                 offsets, data = K.text_buffers(texts[lo:hi])
                 doc, starts, ends = _chunk_spans(offsets, data)
@@ -114,6 +114,7 @@ def chunk_table(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [
                         ids[lo:hi].take(pa.array(doc)),
+                        bodies[lo:hi].take(pa.array(doc)),
                         pa.array((np.arange(len(doc)) - first).astype(np.int32)),
                         pa.array((starts - offsets[doc]).astype(np.int32)),
                         pa.array((ends - starts).astype(np.int32)),
@@ -121,29 +122,34 @@ def chunk_table(docs: DataFrame) -> DataFrame:
                         pa.array(K.signed(high)),
                         pa.array(again),
                     ],
-                    names=["id", "ord", "start", "length", "low", "high", "again"],
+                    names=["id", "body", "ord", "start", "length", "low", "high", "again"],
                 )
 
-    return docs.mapInArrow(run, "id long, ord int, start int, length int, low long, high long, again boolean")
+    return docs.mapInArrow(run, "id long, body int, ord int, start int, length int, low long, high long, again boolean")
+
+
+def _body() -> Column:
+    """Tells the texts of one id apart."""
+    return F.hash("text")
 
 
 def repeated_spans(docs: DataFrame, min_run: int = MIN_RUN) -> DataFrame:
-    """(id, start, length, first_id): maximal byte spans of docs (id, text) made of chunks that a smaller id, or the text itself further up, holds.
+    """(id, body, start, length, first_id): maximal byte spans of docs (id, text) made of chunks that a smaller id, or the text itself further up, holds.
 
     The digest table is aggregated with map-side combining and joined back, so a chunk that a
     billion texts share is one row on one side and is split by the skew join on the other.
     """
-    docs = docs.where(F.col("id").isNotNull() & F.col("text").isNotNull())
+    docs = docs.where(F.col("id").isNotNull() & F.col("text").isNotNull()).select("id", "text", _body().alias("body"))
     chunks = chunk_table(docs)
     fresh = chunks.where(~F.col("again"))
     shared = fresh.groupBy("low", "high").agg(F.min("id").alias("first_id"), F.max("id").alias("last_id")).where("last_id > first_id").drop("last_id")
-    copied = fresh.select("id", "ord", "start", "length", "low", "high").join(shared, ["low", "high"]).where("id > first_id")
-    own = chunks.where("again").select("id", "ord", "start", "length", F.col("id").alias("first_id"))
-    repeats = copied.select("id", "ord", "start", "length", "first_id").unionByName(own)
-    # consecutive numbers less their rank are constant within a run
-    ranked = repeats.withColumn("island", F.col("ord") - F.row_number().over(Window.partitionBy("id").orderBy("ord")))
-    spans = ranked.groupBy("id", "island").agg(F.min("start").alias("start"), F.sum("length").cast("int").alias("length"), F.min("first_id").alias("first_id"))
-    return spans.where(F.col("length") >= min_run).select("id", "start", "length", "first_id")
+    copied = fresh.select("id", "body", "ord", "start", "length", "low", "high").join(shared, ["low", "high"]).where("id > first_id")
+    own = chunks.where("again").select("id", "body", "ord", "start", "length", F.col("id").alias("first_id"))
+    repeats = copied.select("id", "body", "ord", "start", "length", "first_id").unionByName(own)
+    # consecutive numbers less their rank are constant within a run; of a repeated row each number comes as often, with one rank
+    ranked = repeats.withColumn("island", F.col("ord") - F.dense_rank().over(Window.partitionBy("id", "body").orderBy("ord")))
+    spans = ranked.groupBy("id", "body", "island").agg(F.min("start").alias("start"), (F.max(F.col("start") + F.col("length")) - F.min("start")).alias("length"), F.min("first_id").alias("first_id"))
+    return spans.where(F.col("length") >= min_run).select("id", "body", "start", "length", "first_id")
 
 
 def substring_dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", min_run: int = MIN_RUN) -> DataFrame:
@@ -155,15 +161,16 @@ def substring_dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str
     are left alone and have no row.
 
     Defined cases: null ids and texts take no part; empty texts have no chunks; rows of one id
-    count as one document, and each of them loses the spans; a text without word borders is cut
+    count as one document: none loses what only others of them hold, equal rows lose the same spans
+    and each of several texts its own; a text without word borders is cut
     between characters; other columns are ignored; an empty table gives no rows.
     """
     docs = pick(docs, id=id_column, text=text_column)
     spans = repeated_spans(docs, min_run)
-    lists = spans.groupBy("id").agg(
+    lists = spans.groupBy("id", "body").agg(
         F.array_sort(F.collect_set(F.struct("start", "length"))).alias("spans"), F.array_sort(F.collect_set("first_id")).alias("first_doc_ids"), F.sum("length").alias("removed_bytes")
     )
-    joined = docs.where(F.col("text").isNotNull()).join(lists, "id").select("id", "text", "removed_bytes", "spans", "first_doc_ids")
+    joined = docs.where(F.col("text").isNotNull()).withColumn("body", _body()).join(lists, ["id", "body"]).select("id", "text", "removed_bytes", "spans", "first_doc_ids")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -298,6 +298,19 @@ def test_substring_query_against_plain_version(spark, texts):
         assert r["text"] == raw.decode("utf-8", "replace") and r["removed_bytes"] == sum(n for _, n in want[k])
 
 
+def test_repeated_rows_lose_the_whole_passage(spark):
+    rng = random.Random(16)
+    passage, tail = prose(rng, 120), prose(rng, 60)
+    rows = [(1, f"{prose(rng, 30)} {passage} {prose(rng, 30)}"), (2, f"{passage} {tail}"), (3, f"{prose(rng, 40)} {passage}")]
+    find = lambda rows: sorted((r["doc_id"], r["text"], r["removed_bytes"], str(r["spans"])) for r in substring_dedup.substring_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    once = find(rows)
+    assert [r[0] for r in once] == [2, 3] and all(r[2] >= 0.8 * len(passage) for r in once)
+    assert find(rows + rows[1:2] * 2 + rows[2:]) == sorted(once + once[:1] * 2 + once[1:])
+    # another text of the same id loses its own spans
+    other = (2, f"{prose(rng, 50)} {tail[:5]}")
+    assert find([*rows, other]) == once
+
+
 # 5 --------------------------------------------------------------------------------------------
 
 
