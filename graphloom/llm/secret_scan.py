@@ -18,6 +18,8 @@ from graphloom.llm.labelled import labelled_sample
 TRAINING_ROWS = 3000
 #: Bytes a candidate string has at least; shorter ones hold too few characters to tell chance from language.
 MIN_LENGTH = 16
+#: Letters of a word that names and paths are made of, at most.
+MAX_PART = 32
 
 _ALPHABET = "0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ_-+/="
 #: 0 is the border of a string, 1 to 67 the alphabet, 68 any non-ASCII byte.
@@ -30,10 +32,13 @@ _ASSIGNED = re.compile(r"""(?i)\b(?:token|secret|passw(?:or)?d|pwd|api[_-]?key|a
 
 @dataclass(frozen=True)
 class MarkovPair:
-    """ratio[a, b, c]: how much likelier c is after a, b in a random string than in an identifier, as a logarithm."""
+    """ratio[a, b, c]: how much likelier c is after a, b in a random string than in an identifier, as a logarithm.
+
+    A run is a secret over limit; a stretch of a longer run is one where its sum of ratios less the limit is over gain."""
 
     ratio: np.ndarray
     limit: float
+    gain: float = np.inf
 
 
 def candidate_spans(offsets: np.ndarray, data: np.ndarray, min_length: int = MIN_LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -56,18 +61,66 @@ def _coded(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return codes, at
 
 
-def _scores(model: MarkovPair, strings: list[bytes]) -> np.ndarray:
-    """Log-likelihood ratio a character."""
-    if not strings:
-        return np.zeros(0)
+def _ratios(model: MarkovPair, strings: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Log-likelihood ratio of each character, each string led by two zeros, and where each begins."""
     codes, at = _coded(strings)
     each = np.zeros(len(codes))
     each[2:] = model.ratio[codes[:-2], codes[1:-1], codes[2:]]
     border = np.concatenate((at[:-1], at[:-1] + 1))
     each[border] = 0
+    return each, at
+
+
+def _scores(model: MarkovPair, strings: list[bytes]) -> np.ndarray:
+    """Log-likelihood ratio a character."""
+    if not strings:
+        return np.zeros(0)
+    each, at = _ratios(model, strings)
     return np.add.reduceat(each, at[:-1]) / (np.diff(at) - 2)
 
 
+def _gains(model: MarkovPair, strings: list[bytes], min_length: int) -> np.ndarray:
+    """The largest sum of ratios less the limit over a stretch of min_length or more bytes of each string; -inf of a shorter one."""
+    if not strings:
+        return np.zeros(0)
+    each, at = _ratios(model, strings)
+    each -= model.limit
+    head = at[:-1]
+    each[head] = each[head + 1] = 0
+    sums = np.cumsum(each)
+    owner = np.repeat(np.arange(len(strings)), np.diff(at))
+    sums -= sums[head][owner]
+    # lowered from string to string by more than sums vary: a running minimum that starts anew in each
+    step = 2 * np.abs(sums).max() + 1
+    lowest = np.minimum.accumulate(sums - owner * step) + owner * step
+    out = np.full(len(strings), -np.inf)
+    # the sum up to the byte before a stretch stands min_length places or more before that of its last
+    end = np.flatnonzero(np.arange(len(sums)) - head[owner] >= min_length + 1)
+    np.maximum.at(out, owner[end], sums[end] - lowest[end - min_length])
+    return out
+
+
+def _stretches(ratio: np.ndarray, letter: np.ndarray, model: MarkovPair, min_length: int) -> list[tuple[int, int]]:
+    """Disjoint stretches of one string over model.gain that hold a letter, the best first taken, in order."""
+    out, open_ = [], [(0, len(ratio))]
+    while open_:
+        lo, hi = open_.pop()
+        if hi - lo < min_length:
+            continue
+        sums = np.concatenate(([0.0], np.cumsum(ratio[lo:hi] - model.limit)))
+        low = np.minimum.accumulate(sums)[: len(sums) - min_length]
+        gain = sums[min_length:] - low
+        k = int(np.argmax(gain))
+        if gain[k] <= model.gain:
+            continue
+        end = lo + k + min_length
+        start = lo + int(np.argmin(sums[: k + 1]))
+        if letter[start:end].any():
+            out.append((start, end))
+        open_ += [(lo, start), (end, hi)]
+    return sorted(out)
+
+
 def _counts(strings: list[bytes]) -> np.ndarray:
     out = np.zeros((_SYMBOLS, _SYMBOLS, _SYMBOLS))
     if strings:
@@ -130,14 +183,35 @@ def train_markov(texts: list[str], seed: int = 3) -> MarkovPair:
     p, q = _scores(model, test_p), _scores(model, test_n)
     if not len(q):
         return model
+    # a false alarm weighs ten misses: ordinary strings are the common case
+    model = MarkovPair(model.ratio, _best_limit(p, q, 10))
+    short = [w for w in words if len(w) <= MAX_PART]
+    if not short:
+        return model
+    # a stretch is chosen among many, so it has a limit of its own, from names and paths with and without a secret
+    paths = joined_words(short, 5000)
+    joined = [path + b"=/-_"[k % 4 :][:1] + s for k, (path, s) in enumerate(zip(paths[::2], random_strings(len(paths) // 2, seed=8)))]
+    return MarkovPair(model.ratio, model.limit, max(0.0, _best_limit(_gains(model, joined, MIN_LENGTH), _gains(model, [x for x in paths[1::2] + test_n if MIN_LENGTH <= len(x) <= 12 * MAX_PART], MIN_LENGTH), 100)))
+
+
+def joined_words(words: list[str], n: int, seed: int = 9) -> list[bytes]:
+    """Long ordinary strings: two to twelve words as a path or a name."""
+    rng = np.random.default_rng(seed)
+    out = []
+    for k in range(n):
+        part = [words[i] for i in rng.integers(0, len(words), size=int(rng.integers(2, 13)))]
+        out.append(["/".join(part), "_".join(part), "-".join(part), "_".join(part).upper(), part[0] + "".join(p.capitalize() for p in part[1:]), "/".join(part) + "=" + part[0]][k // 2 % 6].encode())
+    return out
+
+
+def _best_limit(p: np.ndarray, q: np.ndarray, alarm: float) -> float:
+    """Between the scores p of secrets and q of others; a false alarm weighs so many misses."""
     edges = np.unique(np.concatenate((p, q)))
     middle = (edges[1:] + edges[:-1]) / 2
-    p.sort()
-    q.sort()
-    # a false alarm weighs ten misses: ordinary strings are the common case
-    cost = 10 * (1 - np.searchsorted(q, middle) / len(q)) + np.searchsorted(p, middle) / len(p)
+    p, q = np.sort(p), np.sort(q)
+    cost = alarm * (1 - np.searchsorted(q, middle) / len(q)) + np.searchsorted(p, middle) / len(p)
     best = np.flatnonzero(cost == cost.min())
-    return MarkovPair(model.ratio, float(middle[best[len(best) // 2]]))
+    return float(middle[best[len(best) // 2]])
 
 
 def secret_scan(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text", label_column: str = "quality", training_rows: int = TRAINING_ROWS, min_length: int = MIN_LENGTH) -> DataFrame:
@@ -145,7 +219,9 @@ def secret_scan(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", t
 
     start and length are in characters of the text; score is the log-likelihood ratio a
     character; masked shows the first four characters and stars. Candidates are the maximal
-    runs of letters, digits and _-+/= of min_length or more bytes with an ASCII letter in them.
+    runs of letters, digits and _-+/= of min_length or more bytes with an ASCII letter in them;
+    of a run that is none as a whole, the stretches of min_length or more bytes with the most
+    evidence, so that a path or a name before a secret does not hide it.
     Models are trained on at most training_rows labelled documents; all texts are scanned whole.
 
     Defined cases: null and empty texts hold nothing; rows of a null or repeated id are scanned
@@ -167,11 +243,21 @@ def secret_scan(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", t
                     continue
                 strings = [data[s:e].tobytes() for s, e in zip(starts.tolist(), ends.tolist())]
                 score = _scores(model, strings)
-                hit = np.flatnonzero(score > model.limit)
+                whole = score > model.limit
+                rest = np.flatnonzero(~whole)
+                rest = rest[_gains(model, [strings[k] for k in rest.tolist()], min_length) > model.gain]
+                parts = [(doc[whole], starts[whole], ends[whole], score[whole])]
+                for k in rest.tolist():
+                    ratio = _ratios(model, [strings[k]])[0][2:]
+                    code = _CODE[data[starts[k] : ends[k]]]
+                    for a, b in _stretches(ratio, (code > 10) & (code <= 62), model, min_length):
+                        parts.append(([doc[k]], [starts[k] + a], [starts[k] + b], [ratio[a:b].mean()]))
+                doc, starts, ends, score = (np.concatenate([x[j] for x in parts]) for j in range(4))
+                hit = np.argsort(starts, kind="stable")
                 chars = np.concatenate(([0], np.cumsum((data & 0xC0) != 0x80)))
                 begin = chars[starts[hit]] - chars[offsets[doc[hit]]]
                 size = chars[ends[hit]] - chars[starts[hit]]
-                shown = [strings[k].decode("utf-8", "replace")[:4] + "*" * int(n - 4) for k, n in zip(hit.tolist(), size)]
+                shown = [data[starts[k] : ends[k]].tobytes().decode("utf-8", "replace")[:4] + "*" * int(n - 4) for k, n in zip(hit.tolist(), size)]
                 yield pa.RecordBatch.from_arrays(
                     [ids[lo:hi].take(pa.array(doc[hit])), pa.array(begin.astype(np.int32)), pa.array(size.astype(np.int32)), pa.array(score[hit]), pa.array(shown, pa.string())],
                     names=["doc_id", "start", "length", "score", "masked"],

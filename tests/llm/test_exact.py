@@ -367,6 +367,25 @@ def test_secret_scores_one_by_one_and_held_out():
     assert (secret_scan._scores(model, plain) > model.limit).mean() < 0.01
 
 
+def test_secrets_joined_to_paths_and_names(spark):
+    rng = random.Random(15)
+    path = lambda n, by: by.join(prose(rng, 1) for _ in range(n))
+    rows, want = [], {}
+    for k, s in enumerate(x.decode() for x in secret_scan.random_strings(240, seed=98)):
+        s = s[: (20, 40)[k % 2]]
+        want[k] = s
+        by = "/_-"[k % 3]
+        rows.append((k, f"{prose(rng, 8)} {path(rng.randint(2, 8), by)}{'=/-_'[k % 4]}{s} {prose(rng, 8)}"))
+    plain = [(1000 + k, f"{prose(rng, 8)} {path(rng.randint(2, 12), '/_-'[k % 3])} {prose(rng, 8)}") for k in range(400)]
+    labels = [(k, 1) for k, _ in plain[:200]]
+    found = secret_scan.secret_scan(spark.createDataFrame(rows + plain, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int")).collect()
+    texts = dict(rows + plain)
+    held = lambda r: texts[r["doc_id"]][r["start"] : r["start"] + r["length"]]
+    right = {r["doc_id"] for r in found if r["doc_id"] < 1000 and want[r["doc_id"]][4:-4] in held(r)}
+    assert len(right) >= 0.9 * len(rows), len(right)
+    assert len({r["doc_id"] for r in found if r["doc_id"] >= 1000}) <= 4
+
+
 # 7 --------------------------------------------------------------------------------------------
 
 
