@@ -61,7 +61,7 @@ class Scanner:
         self.imports: list[str] = []
         self.hidden: list[tuple[int, int]] = []
 
-    # small steps ------------------------------------------------------------------------------
+    # small steps
 
     def v(self, i: int) -> str:
         return self.t[i].value if 0 <= i < len(self.t) and self.t[i].kind in ("id", "punct") else ""
@@ -163,7 +163,7 @@ class Scanner:
             return self.function_at(k + 1, self.t[k].mate if self.v(k) == "(" else limit) if self.v(k) == "(" else None
         return self.function_at(i, limit)
 
-    # uses -------------------------------------------------------------------------------------
+    # uses
 
     def calls(self, a: int, b: int) -> list[Call]:
         found: dict[tuple, Call] = {}
@@ -314,7 +314,7 @@ class Scanner:
             return self.v(self.t[depth_open].mate + 1) in ("=>", "{", ":")
         return False
 
-    # declarations -----------------------------------------------------------------------------
+    # declarations
 
     def _hide(self, a: int, b: int) -> None:
         if self.v(a) == "{":

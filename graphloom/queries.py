@@ -41,7 +41,7 @@ def long(*columns: str) -> list:
     return [F.col(c).cast("bigint").alias(c) for c in columns]
 
 
-# index build --------------------------------------------------------------------------------
+# index build
 
 
 @query("SELECT p_name AS name, list_sort(list(DISTINCT 'p' || p_partkey::VARCHAR)) AS files FROM part GROUP BY 1")
@@ -96,7 +96,7 @@ def page_link_edges(spark: SparkSession, sf: str) -> DataFrame:
     return page_links(spark, sf).select("page_id", "href", kind.alias("kind")).distinct()
 
 
-# incremental hashing --------------------------------------------------------------------------
+# incremental hashing
 
 
 def _snapshot(spark: SparkSession, sf: str) -> DataFrame:
@@ -145,7 +145,7 @@ def exact_duplicate_docs(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").groupBy(F.md5("text").alias("md5")).agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("first_doc")).where("copies > 1")
 
 
-# traversal ------------------------------------------------------------------------------------
+# traversal
 
 _DOWN_SQL = f"WITH RECURSIVE e AS ({LINK_EDGES_SQL}), r(node, hop) AS (SELECT '{{start}}', 0 UNION SELECT e.dst, r.hop + 1 FROM r JOIN e ON r.node = e.src WHERE r.hop < {{depth}}{{types}}), m AS (SELECT node, min(hop) AS hop FROM r GROUP BY 1)"
 _UP_SQL = _DOWN_SQL.replace("SELECT e.dst,", "SELECT e.src,").replace("r.node = e.src", "r.node = e.dst")
@@ -257,7 +257,7 @@ def graph_down_capped(spark: SparkSession, sf: str) -> DataFrame:
     return G.down_capped(link_edges(spark, sf).withColumn("ord", F.lit(0).cast("bigint")), none, _start(spark, "c1"), 4)
 
 
-# vectors --------------------------------------------------------------------------------------
+# vectors
 
 _VECTORS_SQL = "SELECT vec_id, embedding::DOUBLE[] AS v, label FROM embeddings"
 
@@ -287,7 +287,7 @@ def vectors_to_embed(spark: SparkSession, sf: str) -> DataFrame:
     return V.to_embed(wanted, V.cached_of(cache, "2")).select("vec_id")
 
 
-# search ---------------------------------------------------------------------------------------
+# search
 
 
 @query("SELECT DISTINCT p_name AS name, 'p' || p_partkey::VARCHAR AS path FROM part WHERE p_name = (SELECT min(p_name) FROM part)")
@@ -360,7 +360,7 @@ def path_functions(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "pages").select(F.col("url").alias("path"), F.lower("url").rlike("(test|spec)|/e2e/").alias("looks_tested"), X.basename(F.col("url")).alias("base"))
 
 
-# lookup and telemetry -------------------------------------------------------------------------
+# lookup and telemetry
 
 
 @query("SELECT doc_id FROM documents WHERE ends_with(lower(lang || '/' || source || '/' || doc_id::VARCHAR), '/7')")
@@ -397,7 +397,7 @@ def hot_symbols(spark: SparkSession, sf: str) -> DataFrame:
     return T.hot_symbols(table(spark, sf, "events").select(F.col("user_id").alias("symbol")))
 
 
-# sessions and evaluation ----------------------------------------------------------------------
+# sessions and evaluation
 
 
 @query("WITH t AS (SELECT conv_id, turn, role, text, sum((role = 'user')::INTEGER) OVER (PARTITION BY conv_id ORDER BY turn) AS t FROM conversations) SELECT conv_id, t::INTEGER AS turn, count(*) AS n, string_agg(role, ',' ORDER BY turn) AS roles FROM t GROUP BY 1, 2")
@@ -495,7 +495,7 @@ def json_arguments(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "events").groupBy("event_type").agg(F.avg(k).alias("mean_k"), F.count(F.lit(1)).alias("n"))
 
 
-# extraction and streaming: rows only, tests hold them against snippets --------------------------
+# extraction and streaming: rows only, tests hold them against snippets
 
 
 def _sources(spark: SparkSession, sf: str) -> DataFrame:
