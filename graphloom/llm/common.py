@@ -39,15 +39,42 @@ BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
 
 
 def bounded_batches(spark: SparkSession) -> None:
+    """Bounds for the batches of texts; a session or a submit that names its own keeps them."""
+    given = spark.sparkContext.getConf()
     for key, value in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
-        if spark.conf.get(key, None) is None or spark.conf.get(key) == "10000":
+        if not given.contains(key) and not spark._jsparkSession.sessionState().conf().contains(key):
             spark.conf.set(key, value)
 
 
 def pick(df: DataFrame, **columns: str) -> DataFrame:
-    """Only the columns an operator works on, under its own names: other columns, whatever they are called, cannot clash."""
+    """Only the columns an operator works on, under its own names: other columns, whatever they are called, cannot clash.
+
+    id must be an integer of any width (it becomes a long), other names are taken as they are.
+    """
     bounded_batches(df.sparkSession)
-    return df.select(*(df[old].alias(new) for new, old in columns.items()))
+    kinds = dict(df.dtypes)
+    out = []
+    for new, old in columns.items():
+        if new == "id":
+            if kinds.get(old) not in ("tinyint", "smallint", "int", "bigint", "void"):
+                raise TypeError(f"column {old} must hold integers, not {kinds.get(old)}")
+            out.append(df[old].cast("long").alias(new))
+        else:
+            out.append(df[old].alias(new))
+    return df.select(*out)
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """A name like this one that no column of df has, in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def body_of(text: str = "text") -> Column:
+    """Tells the texts of one id apart."""
+    return F.hash(text)
 
 
 def has_words(text: Column) -> Column:
