@@ -1,22 +1,28 @@
-"""Line dedup: two Bloom filters pick the lines that may repeat; only those are shuffled and confirmed."""
+"""Line dedup: two Bloom filters pick the lines that may repeat; only those are shuffled and confirmed.
+
+The filters are cut in parts by hash, each the work of one group, so that there is no size from
+which they are too large. A line sends 32 bits of its hash to its part; what may repeat is sent
+back to the task it came from, and of those lines alone the digests are shuffled and compared.
+"""
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from graphloom.llm import kernels as K
-from graphloom.llm.common import cut, pick, table
+from graphloom.llm.common import body_of, cut, pick, table, unused
 
 BITS_PER_LINE = 8
-BLOCK_BITS = 1 << 15
-#: Largest filter that is sent to every worker; the suspects of more lines than it serves are found by a join on line hashes.
-MAX_FILTER_BYTES = 64 << 20
+#: Lines that one part of the filters serves; it takes a byte for each bit of the two while it is filled.
+LINES_PER_PART = 1 << 21
 
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 11, 12, 13, 32]] = True
@@ -38,186 +44,202 @@ def line_spans(offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.nd
     return doc, number, first, last
 
 
-def _hashed(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    offsets, data = K.text_buffers(texts)
-    doc, number, starts, ends = line_spans(offsets, data)
-    return doc, number, starts, ends, K.segment_hash(data, starts, ends), data
+def line_packets(docs: DataFrame) -> DataFrame:
+    """A row for each slice of docs (id, text, body): (task, ids, bodies, counts, numbers, digests), all but the task as packed arrays.
 
-
-def line_hashes(docs: DataFrame) -> DataFrame:
-    """(id, hashes): the 64-bit hashes of each text's lines that are not blank, as bytes."""
+    counts are the lines of each text that are not blank, numbers and 128-bit digests (BLAKE2) are theirs.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, digest = TaskContext.get().partitionId(), hashlib.blake2b
         for batch in batches:
-            ids, texts = batch.column(0), batch.column(1)
+            ids, texts, bodies = (batch.column(k) for k in range(3))
             for lo, hi in K.slices(texts):
-                doc, _, _, _, h, _ = _hashed(texts[lo:hi])
-                edges = np.searchsorted(doc, np.arange(hi - lo + 1)).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([ids[lo:hi], pa.ListArray.from_arrays(pa.array(edges), pa.array(K.signed(h)))], names=["id", "hashes"])
+                offsets, data = K.text_buffers(texts[lo:hi])
+                doc, number, starts, ends = line_spans(offsets, data)
+                if not len(doc):
+                    continue
+                raw = data.tobytes()
+                digests = b"".join([digest(raw[s:e], digest_size=16).digest() for s, e in zip(starts.tolist(), ends.tolist())])
+                counts = np.bincount(doc, minlength=hi - lo).astype(np.int32)
+                packed = [np.asarray(ids[lo:hi]).tobytes(), np.asarray(bodies[lo:hi]).astype(np.int32).tobytes(), counts.tobytes(), number.astype(np.int32).tobytes(), digests]
+                yield pa.RecordBatch.from_arrays([pa.array([task], pa.int32()), *(pa.array([x], pa.binary()) for x in packed)], names=["task", "ids", "bodies", "counts", "numbers", "digests"])
 
-    return docs.mapInArrow(run, "id long, hashes array<long>")
+    return docs.mapInArrow(run, "task int, ids binary, bodies binary, counts binary, numbers binary, digests binary")
 
 
-def _positions(h: np.ndarray, blocks: int) -> np.ndarray:
-    """Two bits of one block for each hash, as bit numbers of the whole filter (one row a hash)."""
-    block = ((h >> np.uint64(32)) * np.uint64(blocks)) >> np.uint64(32)
-    low = np.uint64(BLOCK_BITS - 1)
-    base = block * np.uint64(BLOCK_BITS)
-    return np.column_stack((base + (h & low), base + ((h >> np.uint64(15)) & low))).astype(np.int64)
+def _parted(digests: bytes, parts: int) -> np.ndarray:
+    """part << 32 | key of each digest: the part of the filters it belongs to, and its 32 bits there."""
+    h = np.frombuffer(digests, dtype=np.uint64)[::2]
+    return ((((h >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)) << np.uint64(32)) | (h & np.uint64(0xFFFFFFFF))
 
 
-def twice_filter(hashes: DataFrame, blocks: int, parts: int) -> np.ndarray:
-    """Bits that two lines have set, over all lines.
+def _bits(keys: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """The two bits of each key in filters of so many."""
+    x = keys.astype(np.uint64)
+    other = K.mix64(x + np.uint64(1)) >> np.uint64(32)
+    return ((x * np.uint64(width)) >> np.uint64(32)).astype(np.int64), ((other * np.uint64(width)) >> np.uint64(32)).astype(np.int64)
 
-    Each task sends the bits of its distinct hashes to the part of the filter they belong to,
-    and apart from them the bits of hashes it holds twice. A part keeps two filters: a bit that
-    arrives when it is already in the first goes to the second. Every repeated hash is in the
-    second filter with all its bits; others get in by chance only.
+
+def possible_repeats(packets: DataFrame, lines: int, lines_per_part: int = LINES_PER_PART) -> DataFrame:
+    """(task, part, keys): of each task the keys that may have come twice, from all tasks together.
+
+    A part keeps two filters: keys that arrive when their bits are all in the first, and those
+    that a task holds twice, go to the second. Every repeated line's key is in the second; others
+    get in by chance only.
     """
-    width = -(-blocks // parts) * BLOCK_BITS
+    parts = max(1, -(-lines // lines_per_part))
+    width = BITS_PER_LINE * max(1024, min(lines, lines_per_part))
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [np.asarray(b.column(0).flatten()).view(np.uint64) for b in batches]
-        h, count = np.unique(np.concatenate(held), return_counts=True) if held else (np.zeros(0, np.uint64), np.zeros(0, int))
-        once, twice = np.unique(_positions(h, blocks).ravel()), np.unique(_positions(h[count > 1], blocks).ravel())
-        rows = {"part": [], "once": [], "twice": []}
-        for part in np.unique(once // width).tolist():
-            a, b = np.searchsorted(once, [part * width, (part + 1) * width])
-            c, d = np.searchsorted(twice, [part * width, (part + 1) * width])
-            rows["part"].append(part)
-            rows["once"].append((once[a:b] - part * width).astype(np.uint32).tobytes())
-            rows["twice"].append((twice[c:d] - part * width).astype(np.uint32).tobytes())
-        yield pa.RecordBatch.from_pydict(rows, schema=pa.schema([("part", pa.int32()), ("once", pa.binary()), ("twice", pa.binary())]))
+        held, task = [], 0
+        for batch in batches:
+            for k, digests in enumerate(batch.column(1)):
+                task = batch.column(0)[k].as_py()
+                held.append(_parted(digests.as_py(), parts))
+        if not held:
+            return
+        codes, count = np.unique(np.concatenate(held), return_counts=True)
+        part = (codes >> np.uint64(32)).astype(np.int64)
+        keys = codes.astype(np.uint32)
+        first = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1])))
+        stop = np.append(first[1:], len(part))
+        yield pa.RecordBatch.from_pydict(
+            {"part": part[first], "task": np.full(len(first), task), "once": [keys[a:b].tobytes() for a, b in zip(first, stop)], "twice": [keys[a:b][count[a:b] > 1].tobytes() for a, b in zip(first, stop)]},
+            schema=pa.schema([("part", pa.int32()), ("task", pa.int32()), ("once", pa.binary()), ("twice", pa.binary())]),
+        )
 
     def merge(key: tuple, sent: pa.Table) -> pa.Table:
         once, twice = np.zeros(width, dtype=bool), np.zeros(width, dtype=bool)
-        for row in range(sent.num_rows):
-            bits = np.frombuffer(sent["once"][row].as_py(), dtype=np.uint32)
-            twice[bits[once[bits]]] = True
-            once[bits] = True
-            twice[np.frombuffer(sent["twice"][row].as_py(), dtype=np.uint32)] = True
-        return pa.table({"part": pa.array([key[0].as_py()], pa.int32()), "bits": pa.array([np.packbits(twice).tobytes()], pa.binary())})
-
-    out = np.zeros(width * parts // 8, dtype=np.uint8)
-    merged = hashes.select("hashes").mapInArrow(send, "part int, once binary, twice binary").groupBy("part").applyInArrow(merge, "part int, bits binary")
-    for row in merged.toLocalIterator(prefetchPartitions=True):
-        out[row["part"] * width // 8 : (row["part"] + 1) * width // 8] = np.frombuffer(row["bits"], dtype=np.uint8)
-    return out
-
-
-_SUSPECT_SCHEMA = "id long, line int, text string"
-
-
-def _suspect_batch(ids: pa.Array, found: tuple, wanted: np.ndarray) -> pa.RecordBatch:
-    doc, number, starts, ends, h, data = found
-    raw = data.tobytes()
-    texts = [raw[s:e] for s, e in zip(starts[wanted].tolist(), ends[wanted].tolist())]
-    return pa.RecordBatch.from_arrays(
-        [ids.take(pa.array(doc[wanted])), pa.array(number[wanted].astype(np.int32)), pa.array(texts, pa.binary()).cast(pa.string())], names=["id", "line", "text"]
-    )
-
-
-def _suspects_by_filter(docs: DataFrame, hashes: DataFrame, lines: int) -> DataFrame:
-    blocks = max(1, -(-lines * BITS_PER_LINE // BLOCK_BITS))
-    parts = min(blocks, 64)
-    bits = twice_filter(hashes, blocks, parts)
-    shared = docs.sparkSession.sparkContext.broadcast(bits)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = shared.value
-        for batch in batches:
-            ids, texts = batch.column(0), batch.column(1)
-            for lo, hi in K.slices(texts):
-                found = _hashed(texts[lo:hi])
-                at = _positions(found[4], blocks)
-                hit = ((bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1).all(axis=1)
-                yield _suspect_batch(ids[lo:hi], found, np.flatnonzero(hit))
-
-    return docs.mapInArrow(run, _SUSPECT_SCHEMA)
-
-
-def _suspects_by_join(docs: DataFrame, hashes: DataFrame) -> DataFrame:
-    flat = hashes.select("id", F.explode("hashes").alias("hash"))
-    repeated = flat.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("hash")
-    held = flat.join(repeated, "hash").groupBy("id").agg(F.collect_set("hash").alias("hashes"))
-    joined = docs.join(held, "id").select("id", "text", "hashes")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, texts, lists = (batch.column(k) for k in range(3))
-            for lo, hi in K.slices(texts):
-                found = _hashed(texts[lo:hi])
-                part = lists[lo:hi]
-                owner = np.repeat(np.arange(hi - lo), np.asarray(part.value_lengths()))
-                pairs = set(zip(owner.tolist(), np.asarray(part.flatten()).view(np.uint64).tolist()))
-                hit = np.array([p in pairs for p in zip(found[0].tolist(), found[4].tolist())], dtype=bool)
-                yield _suspect_batch(ids[lo:hi], found, np.flatnonzero(hit))
-
-    return joined.mapInArrow(run, _SUSPECT_SCHEMA)
-
-
-def repeated_lines(docs: DataFrame, max_filter_bytes: int = MAX_FILTER_BYTES) -> DataFrame:
-    """(id, line): the lines of docs (id, text) that occur before, in a smaller id or further up in their own text."""
-    docs = docs.where(F.col("id").isNotNull() & F.col("text").isNotNull())
-    hashes = cut(line_hashes(docs))
-    lines = hashes.agg(F.sum(F.size("hashes"))).first()[0] or 0
-    if lines * BITS_PER_LINE // 8 <= max_filter_bytes:
-        suspects = _suspects_by_filter(docs, hashes, lines)
-    else:
-        suspects = _suspects_by_join(docs, hashes)
-    # exact confirmation: the text itself is the key. The aggregate combines before the shuffle, so a line of
-    # a billion texts is one row on its side of the join, and the skew join splits the other
-    first = suspects.groupBy("text").agg(F.min("id").alias("first_id"), F.count(F.lit(1)).alias("n")).where("n > 1").select("text", "first_id")
-    per_text = suspects.groupBy("id", "text").agg(F.min("line").alias("head"), F.collect_set("line").alias("lines"))
-    found = per_text.join(first, "text")
-    at = F.when(F.col("id") > F.col("first_id"), F.col("lines")).otherwise(F.filter("lines", lambda x: x != F.col("head")))
-    return found.select("id", F.explode(at).alias("line"))
-
-
-def drop_repeated_lines(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", max_filter_bytes: int = MAX_FILTER_BYTES) -> DataFrame:
-    """docs, all columns, each text without its repeated lines, and with __dropped, the number of lines it lost."""
-    lines = repeated_lines(pick(docs, id=id_column, text=text_column), max_filter_bytes)
-    drops = lines.groupBy("id").agg(F.collect_set("line").alias("__lines")).withColumnRenamed("id", "__id")
+        arrived = [np.frombuffer(x.as_py(), dtype=np.uint32) for x in sent["once"]]
+        for keys, again in zip(arrived, sent["twice"]):
+            a, b = _bits(keys, width)
+            seen = once[a] & once[b]
+            twice[a[seen]] = twice[b[seen]] = True
+            once[a] = once[b] = True
+            a, b = _bits(np.frombuffer(again.as_py(), dtype=np.uint32), width)
+            twice[a] = twice[b] = True
+        tasks, replies = [], []
+        for keys, task in zip(arrived, sent["task"]):
+            a, b = _bits(keys, width)
+            hit = keys[twice[a] & twice[b]]
+            if len(hit):
+                tasks.append(task.as_py())
+                replies.append(hit.tobytes())
+        return pa.table({"task": pa.array(tasks, pa.int32()), "part": pa.array([key[0].as_py()] * len(tasks), pa.int32()), "keys": pa.array(replies, pa.binary())})
+
+    return packets.select("task", "digests").mapInArrow(send, "part int, task int, once binary, twice binary").groupBy("part").applyInArrow(merge, "task int, part int, keys binary")
+
+
+def _suspected(pair: tuple[list[Row], list[tuple]], parts: int) -> Iterator[tuple[bytes, bytes, bytes]]:
+    """(digests, ids, places) of the lines of one task's packets whose keys its replies hold."""
+    packets, replies = pair
+    if not replies:
+        return
+    codes = np.sort(np.concatenate([np.frombuffer(keys, dtype=np.uint32).astype(np.uint64) | np.uint64(part << 32) for _, (part, keys) in replies]))
+    for row in packets:
+        mine = _parted(row["digests"], parts)
+        hit = np.flatnonzero(codes[np.minimum(np.searchsorted(codes, mine), len(codes) - 1)] == mine)
+        if len(hit):
+            doc = np.repeat(np.arange(len(row["counts"]) // 4), np.frombuffer(row["counts"], dtype=np.int32))[hit]
+            place = np.frombuffer(row["bodies"], dtype=np.int32).astype(np.int64)[doc] << 32 | np.frombuffer(row["numbers"], dtype=np.int32)[hit]
+            yield np.frombuffer(row["digests"], dtype=np.int64).reshape(-1, 2)[hit].tobytes(), np.frombuffer(row["ids"], dtype=np.int64)[doc].tobytes(), place.tobytes()
+
+
+def _flat(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for digests, ids, places in zip(*(batch.column(k).to_pylist() for k in range(3))):
+            both = np.frombuffer(digests, dtype=np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy()), pa.array(np.frombuffer(ids, dtype=np.int64)), pa.array(np.frombuffer(places, dtype=np.int64))], names=["low", "high", "id", "place"])
+
+
+def repeated_lines(docs: DataFrame, lines_per_part: int = LINES_PER_PART) -> DataFrame:
+    """(id, body, line): the lines of docs (id, text) that occur before, in a smaller id or further up; body tells the texts of one id apart."""
+    spark = docs.sparkSession
+    docs = docs.where(F.col("id").isNotNull() & F.col("text").isNotNull()).select("id", "text", body_of().alias("body"))
+    packets = cut(line_packets(docs))
+    lines = (packets.agg(F.sum(F.octet_length("digests").cast("long"))).first()[0] or 0) // 16
+    if not lines:
+        return spark.createDataFrame([], "id long, body int, line int")
+    parts = max(1, -(-lines // lines_per_part))
+    # replies meet their task's packets where those are: packets do not move
+    tasks = packets.rdd.getNumPartitions()
+    replies = possible_repeats(packets, lines, lines_per_part).rdd.map(lambda r: (r["task"], (r["part"], r["keys"]))).partitionBy(tasks, int)
+    met = packets.rdd.glom().zip(replies.glom()).flatMap(lambda pair: _suspected(pair, parts))
+    found = spark.createDataFrame(met, "digests binary, ids binary, places binary", verifySchema=False)
+    suspects = cut(found.mapInArrow(_flat, "low long, high long, id long, place long"))
+    # confirmation by digest. The aggregate combines before the shuffle, so a line of a billion texts is one row on its
+    # side of the join, and the skew join splits the other
+    first = suspects.groupBy("low", "high").agg(F.min(F.struct("id", "place")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    again = suspects.join(first, ["low", "high"]).where(F.struct("id", "place") > F.col("first"))
+    return again.select("id", F.shiftright("place", 32).cast("int").alias("body"), F.col("place").bitwiseAND(F.lit((1 << 32) - 1)).cast("int").alias("line")).distinct()
+
+
+def drop_repeated_lines(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", dropped: str = "dropped", lines_per_part: int = LINES_PER_PART) -> DataFrame:
+    """docs, all columns, each text without its repeated lines, and after them `dropped`, the number of lines it lost.
+
+    Defined cases: as in line_dedup; other columns, whatever their names, stay as they are
+    (`dropped` must be a name that docs doesn't have).
+    """
     columns = docs.columns
-    joined = docs.join(drops, docs[id_column] == F.col("__id"), "left").select(*(docs[c] for c in columns), "__lines")
+    lines = repeated_lines(pick(docs, id=id_column, text=text_column), lines_per_part)
+    lost = unused(docs, "lost")
+    drops = lines.groupBy("id", "body").agg(F.collect_set("line").alias(lost))
+    joined = docs.join(drops, (docs[id_column] == drops["id"]) & (body_of(docs[text_column]) == drops["body"]), "left").select(*(docs[c] for c in columns), drops[lost])
     place = columns.index(text_column)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             drops = batch.column(len(columns))
             texts = batch.column(place)
-            dropped = np.asarray(drops.value_lengths().fill_null(0)).astype(np.int32)
-            hit = np.flatnonzero(dropped)
+            count = np.asarray(drops.value_lengths().fill_null(0)).astype(np.int32)
+            hit = np.flatnonzero(count)
             if len(hit):
                 changed = texts.to_pylist()
                 for k in hit.tolist():
                     gone = set(drops[k].as_py())
                     changed[k] = "\n".join(x for n, x in enumerate(changed[k].split("\n")) if n not in gone)
-                texts = pa.array(changed, pa.string())
+                texts = pa.array(changed, texts.type)
             arrays = [texts if k == place else batch.column(k) for k in range(len(columns))]
-            yield pa.RecordBatch.from_arrays([*arrays, pa.array(dropped)], names=[*columns, "__dropped"])
+            yield pa.RecordBatch.from_arrays([*arrays, pa.array(count)], names=[*columns, dropped])
 
     # a set of line numbers for each text: a test of every line against a list would take the square of a long text's lines
-    return joined.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("__dropped", T.IntegerType())]))
+    return joined.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(dropped, T.IntegerType())]))
+
+
+def remove_repeated_lines(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", count_column: str | None = "n_chars") -> DataFrame:
+    """docs, its own columns, each line at its first occurrence only, without the rows of which nothing is left.
+
+    Defined cases: as in line_dedup; rows that lose nothing stay as they are, empty and blank ones
+    too; count_column, where docs has it, follows the text of the rows that change.
+    """
+    columns = docs.columns
+    dropped = unused(docs, "dropped")
+    kept = drop_repeated_lines(docs, id_column, text_column, dropped)
+    kept = kept.where((F.col(dropped) == 0) | F.col(text_column).rlike(r"[^ \t\n\x0b\f\r]"))
+    if count_column in columns:
+        kind = docs.schema[count_column].dataType
+        kept = kept.withColumn(count_column, F.when(F.col(dropped) > 0, F.length(text_column).cast(kind)).otherwise(F.col(count_column)))
+    return kept.select(*columns)
 
 
-def line_dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", max_filter_bytes: int = MAX_FILTER_BYTES) -> DataFrame:
+def line_dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", lines_per_part: int = LINES_PER_PART) -> DataFrame:
     """Every document without the lines that occur before: (doc_id, text, dropped).
 
     A line is what stands between line feeds; two lines are equal when they are equal after
-    blanks at either end are cut. The first occurrence, by id and then by line, stays; blank
-    lines always stay. Line hashes set two Bloom filters (seen once, seen twice); lines outside
-    the second are unique for certain, the others are shuffled with their text and compared
-    exactly, so that chance hits change nothing. The filter is broadcast up to max_filter_bytes;
-    beyond it the same suspects are found by a join on the hashes.
-
-    Defined cases: null texts stay null, null ids take no part, and both lose nothing; empty
-    texts stay empty; a text whose lines are all repeats becomes empty; rows of one id count as
-    one document and lose the same lines; other columns are ignored; an empty table gives no rows.
+    blanks at either end are cut, which their 128-bit digests tell. The first occurrence, by id
+    and then by line, stays; blank lines always stay. 32 bits of each line's hash go to two Bloom
+    filters (seen once, seen twice), cut in parts of lines_per_part lines; lines outside the
+    second are unique for certain, the digests of the others are shuffled and compared, so that
+    chance hits change nothing.
+
+    Defined cases: ids are integers; null texts stay null, null ids take no part, and both lose
+    nothing; empty texts stay empty; a text whose lines are all repeats becomes empty; equal rows
+    of one id count as one and lose the same lines; of several texts of an id one holds the first
+    occurrence (the smaller hash), so that no line is lost in all; other columns are ignored; an
+    empty table gives no rows.
     """
-    return drop_repeated_lines(pick(docs, id=id_column, text=text_column), "id", "text", max_filter_bytes).select(
-        F.col("id").alias("doc_id"), "text", F.col("__dropped").cast("long").alias("dropped")
-    )
+    return drop_repeated_lines(pick(docs, id=id_column, text=text_column), "id", "text", "dropped", lines_per_part).select(F.col("id").alias("doc_id"), "text", F.col("dropped").cast("long").alias("dropped"))
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
