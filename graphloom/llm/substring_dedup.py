@@ -12,11 +12,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from graphloom.llm import kernels as K
-from graphloom.llm.common import pick, table
+from graphloom.llm.common import body_of, pick, table
 
 #: Bytes on either side that a cut's hash must exceed: chunks have more than this, and about twice as much on average.
 NEIGHBOURHOOD = 24
@@ -128,24 +128,19 @@ def chunk_table(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "id long, body int, ord int, start int, length int, low long, high long, again boolean")
 
 
-def _body() -> Column:
-    """Tells the texts of one id apart."""
-    return F.hash("text")
-
-
 def repeated_spans(docs: DataFrame, min_run: int = MIN_RUN) -> DataFrame:
     """(id, body, start, length, first_id): maximal byte spans of docs (id, text) made of chunks that a smaller id, or the text itself further up, holds.
 
     The digest table is aggregated with map-side combining and joined back, so a chunk that a
     billion texts share is one row on one side and is split by the skew join on the other.
     """
-    docs = docs.where(F.col("id").isNotNull() & F.col("text").isNotNull()).select("id", "text", _body().alias("body"))
+    docs = docs.where(F.col("id").isNotNull() & F.col("text").isNotNull()).select("id", "text", body_of().alias("body"))
     chunks = chunk_table(docs)
     fresh = chunks.where(~F.col("again"))
     shared = fresh.groupBy("low", "high").agg(F.min("id").alias("first_id"), F.max("id").alias("last_id")).where("last_id > first_id").drop("last_id")
-    copied = fresh.select("id", "body", "ord", "start", "length", "low", "high").join(shared, ["low", "high"]).where("id > first_id")
-    own = chunks.where("again").select("id", "body", "ord", "start", "length", F.col("id").alias("first_id"))
-    repeats = copied.select("id", "body", "ord", "start", "length", "first_id").unionByName(own)
+    # chunks that stand further up in their own text come along in the same join: one pass less over the texts
+    held = chunks.select("id", "body", "ord", "start", "length", "low", "high", "again").join(shared, ["low", "high"], "left")
+    repeats = held.where(F.col("again") | (F.col("id") > F.col("first_id"))).select("id", "body", "ord", "start", "length", F.least("id", "first_id").alias("first_id"))
     # consecutive numbers less their rank are constant within a run; of a repeated row each number comes as often, with one rank
     ranked = repeats.withColumn("island", F.col("ord") - F.dense_rank().over(Window.partitionBy("id", "body").orderBy("ord")))
     spans = ranked.groupBy("id", "body", "island").agg(F.min("start").alias("start"), (F.max(F.col("start") + F.col("length")) - F.min("start")).alias("length"), F.min("first_id").alias("first_id"))
@@ -170,7 +165,7 @@ def substring_dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str
     lists = spans.groupBy("id", "body").agg(
         F.array_sort(F.collect_set(F.struct("start", "length"))).alias("spans"), F.array_sort(F.collect_set("first_id")).alias("first_doc_ids"), F.sum("length").alias("removed_bytes")
     )
-    joined = docs.where(F.col("text").isNotNull()).withColumn("body", _body()).join(lists, ["id", "body"]).select("id", "text", "removed_bytes", "spans", "first_doc_ids")
+    joined = docs.where(F.col("text").isNotNull()).withColumn("body", body_of()).join(lists, ["id", "body"]).select("id", "text", "removed_bytes", "spans", "first_doc_ids")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
