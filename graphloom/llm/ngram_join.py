@@ -16,21 +16,28 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.llm import kernels as K
-from graphloom.llm.common import cut, pick, table
+from graphloom.llm.common import body_of, cut, pick, table
 
 N_GRAM = 3
 THRESHOLD = 0.55
 TARGET_RECALL = 0.95
+#: Hash functions of a signature, unless the threshold is so low that the target recall takes more.
 MAX_PERMUTATIONS = 128
 
 
-def choose_bands(threshold: float, target_recall: float, max_permutations: int = MAX_PERMUTATIONS) -> tuple[int, int]:
-    """(bands, rows): the most selective banding that still finds a pair exactly at the threshold with target_recall."""
-    best = (max_permutations, 1)
-    for rows in range(2, 17):
+def choose_bands(threshold: float, target_recall: float, permutations: int = MAX_PERMUTATIONS) -> tuple[int, int]:
+    """(bands, rows): the most selective banding that still finds a pair exactly at the threshold with target_recall.
+
+    Bands of one row, as many as the recall takes, where the threshold is too low for more rows
+    within so many permutations. Both arguments lie over 0, the recall under 1.
+    """
+    if not 0 < threshold <= 1 or not 0 < target_recall < 1:
+        raise ValueError("threshold must be in (0, 1], target_recall in (0, 1)")
+    best = None
+    for rows in range(1, 17):
         hit = threshold**rows
-        bands = 1 if hit >= 1 else math.ceil(math.log(1 - target_recall) / math.log(1 - hit))
-        if bands * rows <= max_permutations:
+        bands = 1 if hit >= 1 else math.ceil(math.log1p(-target_recall) / math.log1p(-hit))
+        if best is None or bands * rows <= permutations:
             best = (bands, rows)
     return best
 
@@ -58,7 +65,7 @@ def signature_bands(doc: np.ndarray, grams: np.ndarray, bands: int, rows: int) -
 
 
 def sign(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
-    """(id, set_a, set_b, grams, bands): a 128-bit digest of the n-gram set, its size, and the band hashes."""
+    """(id, body, set_a, set_b, grams, bands) of docs (id, text, body): a 128-bit digest of the n-gram set, its size, and the band hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -75,15 +82,16 @@ def sign(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [
                         ids[lo:hi].take(pa.array(present)),
+                        batch.column(2)[lo:hi].take(pa.array(present)),
                         pa.array(K.signed(digest[0])),
                         pa.array(K.signed(digest[1])),
                         pa.array(size.astype(np.int32)),
                         pa.ListArray.from_arrays(pa.array(np.arange(len(present) + 1, dtype=np.int32) * bands), pa.array(K.signed(hashes.ravel()))),
                     ],
-                    names=["id", "set_a", "set_b", "grams", "bands"],
+                    names=["id", "body", "set_a", "set_b", "grams", "bands"],
                 )
 
-    return docs.mapInArrow(run, "id long, set_a long, set_b long, grams int, bands array<long>")
+    return docs.mapInArrow(run, "id long, body int, set_a long, set_b long, grams int, bands array<long>")
 
 
 def gram_sets(docs: DataFrame, n: int) -> DataFrame:
@@ -150,16 +158,24 @@ def _verify(candidates: DataFrame, sets: DataFrame, threshold: float) -> DataFra
     return keyed.groupBy("place").cogroup(shipped.groupBy("spot")).applyInArrow(_score(threshold), "a long, b long, jaccard double")
 
 
-def similar_sets(docs: DataFrame, n: int = N_GRAM, threshold: float = THRESHOLD, target_recall: float = TARGET_RECALL) -> tuple[DataFrame, DataFrame]:
-    """(members, edges) of a table (id, text).
+def similar_sets(docs: DataFrame, n: int = N_GRAM, threshold: float = THRESHOLD, target_recall: float = TARGET_RECALL) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+    """(members, edges, standing) of a table (id, text).
 
     members (rep, id): every document with at least one word, under the smallest id that has
     the same n-gram set. edges (a, b, jaccard): pairs of representatives, a < b, at or over
-    the threshold.
+    the threshold. standing (id, stands): of each id with several texts the hash (body_of) of the
+    one that takes part; None if there are none.
     """
     bands, rows = choose_bands(threshold, target_recall)
     docs = docs.where(F.col("id").isNotNull() & F.col("text").isNotNull())
-    signed = cut(sign(docs, n, bands, rows))
+    signed = cut(sign(docs.select("id", "text", body_of().alias("body")), n, bands, rows))
+    standing = cut(signed.groupBy("id").agg(F.min("body").alias("stands"), F.max("body").alias("other")).where("stands <> other").select("id", "stands"))
+    if standing.isEmpty():
+        standing = None
+    else:
+        others = standing.select(F.col("id").alias("id_"), "stands")
+        signed = signed.join(others, F.col("id") == F.col("id_"), "left").where("stands is null or body = stands").drop("id_", "stands")
+        docs = docs.join(others, F.col("id") == F.col("id_"), "left").where(F.col("stands").isNull() | (body_of() == F.col("stands"))).select("id", "text")
     key = ["set_a", "set_b", "grams"]
     heads = signed.groupBy(*key).agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"))
     members = signed.select("id", *key).join(heads.where("copies > 1").select("rep", *key), key).select("rep", "id")
@@ -176,7 +192,7 @@ def similar_sets(docs: DataFrame, n: int = N_GRAM, threshold: float = THRESHOLD,
     )
     wanted = candidates.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     sets = cut(gram_sets(docs.join(wanted, "id", "left_semi"), n).dropDuplicates(["id"]))
-    return members, _verify(candidates, sets, threshold)
+    return members, _verify(candidates, sets, threshold), standing
 
 
 def ngram_jaccard_join(
@@ -189,12 +205,14 @@ def ngram_jaccard_join(
     sets always. There is no cap on the partners of a document: all pairs inside a group of
     copies are returned, at a cost in proportion to the number of pairs.
 
-    Defined cases: a null id or text takes no part; a text without words has no n-grams and is
-    similar to nothing; a text of fewer than n words has one gram, of all its words; repeated
-    rows of one id count once; other columns are ignored; an empty table gives no rows.
+    Defined cases: ids are integers; a null id or text takes no part; a text without words has no
+    n-grams and is similar to nothing; a text of fewer than n words has one gram, of all its words;
+    repeated rows of one id count once, and of an id with several texts one takes part (the one of
+    the smallest hash); pairs exactly at the threshold count; other columns are ignored; an empty
+    table gives no rows.
     """
     docs = pick(docs, id=id_column, text=text_column)
-    members, edges = similar_sets(docs, n, threshold, target_recall)
+    members, edges, _ = similar_sets(docs, n, threshold, target_recall)
     left = members.select(F.col("rep").alias("a"), F.col("id").alias("x"))
     right = members.select(F.col("rep").alias("b"), F.col("id").alias("y"))
     crowded = members.where("id <> rep").select("rep").distinct()
@@ -232,16 +250,19 @@ def components(edges: DataFrame) -> DataFrame:
 def drop_near_copies(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", n: int = N_GRAM, threshold: float = THRESHOLD, target_recall: float = TARGET_RECALL) -> DataFrame:
     """docs without those whose group of near copies has a smaller id; groups are connected components of the join's pairs.
 
-    All columns of docs are kept. Rows that take no part in the join (null id, null or wordless
-    text) stay as they are; so do repeated rows of one id.
+    Defined cases: as in ngram_jaccard_join; all columns of docs stay, whatever their names; rows
+    that take no part in the join (null id, null or wordless text, another text of an id with
+    several) stay as they are; repeated rows stay or go together.
     """
-    members, edges = similar_sets(pick(docs, id=id_column, text=text_column), n, threshold, target_recall)
+    members, edges, standing = similar_sets(pick(docs, id=id_column, text=text_column), n, threshold, target_recall)
     star = components(edges.select("a", "b"))
     root = star.where("id <> root").select(F.col("id").alias("rep"), "root")
-    losers = (
-        members.where("id <> rep").select("id").unionByName(root.select(F.col("rep").alias("id"))).distinct()
-    )
-    return docs.join(losers.select(F.col("id").alias("__loser")), docs[id_column] == F.col("__loser"), "left_anti")
+    losers = members.where("id <> rep").select("id").unionByName(root.select(F.col("rep").alias("id"))).distinct()
+    gone = docs[id_column] == losers["id"]
+    if standing is not None:
+        losers = losers.join(standing, "id", "left")
+        gone = (docs[id_column] == losers["id"]) & (losers["stands"].isNull() | (body_of(docs[text_column]) == losers["stands"]))
+    return docs.join(losers, gone, "left_anti")
 
 
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
