@@ -2,31 +2,51 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def quotas(counts: dict, bound: int) -> dict:
+    """Rows of each class in a sample of at most bound: an equal share of half the bound for every class (all of a rarer one), the rest in proportion."""
+    fixed = {c: min(n, bound // (2 * len(counts))) for c, n in counts.items()}
+    over, rest = sum(n - fixed[c] for c, n in counts.items()), bound - sum(fixed.values())
+    return {c: fixed[c] + (min(n - fixed[c], rest * (n - fixed[c]) // over) if over else 0) for c, n in counts.items()}
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, bound: int, label: str) -> pa.Table:
-    """At most bound labelled documents as (id, text, label), chosen by a hash of the id.
+    """At most bound labelled documents as (id, text, label, weight), of each class those with the smallest hashes of the id.
 
     docs is (id, text), labels (id, <label>). Null ids, texts and labels are left out; of an id
-    that is labelled twice the larger label counts. The choice is made on the labels alone, so
-    only its at most `bound` ids are broadcast and only their texts reach the driver.
+    that is labelled twice the larger label counts, of an id with several texts the smallest. A
+    rare class is not lost among many labels (see quotas); weight is the number of labelled ids
+    a row stands for. The choice is made on the labels alone, so only its at most `bound` ids are
+    broadcast and only their texts reach the driver.
     """
-    chosen = (
-        labels.where(F.col("id").isNotNull() & F.col(label).isNotNull())
-        .groupBy("id")
-        .agg(F.max(label).cast("int").alias("label"))
-        .orderBy(F.xxhash64("id"), "id")
-        .limit(bound)
-    )
-    rows = docs.where(F.col("id").isNotNull() & F.col("text").isNotNull()).join(F.broadcast(chosen), "id").dropDuplicates(["id"])
-    return rows.select("id", "text", "label").toArrow().sort_by("id")
-
-
-def sample_by_hash(docs: DataFrame, bound: int) -> pa.Table:
-    """At most bound rows of docs (id, text, label), the smallest by a hash of the id; null labels and texts are left out."""
-    ids = docs.where(F.col("id").isNotNull() & F.col("text").isNotNull() & F.col("label").isNotNull())
-    chosen = ids.select("id").distinct().orderBy(F.xxhash64("id"), "id").limit(bound)
-    return ids.join(F.broadcast(chosen), "id").dropDuplicates(["id"]).select("id", "text", "label").toArrow().sort_by("id")
+    named = labels.where(F.col("id").isNotNull() & F.col(label).isNotNull()).groupBy("id").agg(F.max(label).alias("label"))
+    counts = {r["label"]: r["count"] for r in named.groupBy("label").count().collect()}
+    if not counts:
+        return pa.table({"id": pa.array([], pa.int64()), "text": pa.array([], pa.string()), "label": pa.array([]), "weight": pa.array([], pa.float64())})
+    wanted = {c: q for c, q in quotas(counts, bound).items() if q}
+    # thinned by the hash to little over the quota, so that the ranking sorts a bounded number of rows
+    limit = [(c, q, counts[c] / q, int(min(1.0, q / counts[c] * (1 + 6 / q**0.5)) * (1 << 62)) if q < counts[c] else 1 << 62) for c, q in wanted.items()]
+    quota = labels.sparkSession.createDataFrame(limit, f"label {dict(named.dtypes)['label']}, quota long, weight double, below long")
+    mark = F.shiftrightunsigned(F.xxhash64("id"), 2)
+    thin = named.join(F.broadcast(quota), "label").where(mark < F.col("below"))
+    rank = F.row_number().over(Window.partitionBy("label").orderBy(mark, "id"))
+    chosen = thin.withColumn("rank", rank).where("rank <= quota").select("id", "label", "weight")
+    rows = docs.where(F.col("id").isNotNull() & F.col("text").isNotNull()).join(F.broadcast(chosen), "id")
+    return rows.groupBy("id", "label", "weight").agg(F.min("text").alias("text")).select("id", "text", "label", "weight").toArrow().sort_by("id")
+
+
+def best_limit(score: np.ndarray, positive: np.ndarray, weight: np.ndarray) -> float:
+    """The limit between two scores from which on `positive` is told with the best F1; of equal ones the largest."""
+    order = np.argsort(-score, kind="stable")
+    hits, alarms = np.cumsum((weight * positive)[order]), np.cumsum(weight[order])
+    last = np.flatnonzero(np.append(np.diff(score[order]) < 0, True))
+    if len(last) < 2:
+        return float("inf")
+    f1 = 2 * hits[last[:-1]] / (alarms[last[:-1]] + (weight * positive).sum())
+    k = last[int(np.argmax(f1))]
+    return float((score[order][k] + score[order][k + 1]) / 2)

@@ -12,12 +12,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 from graphloom.llm import kernels as K
 from graphloom.llm.common import pick, table
-from graphloom.llm.labelled import labelled_sample
+from graphloom.llm.labelled import best_limit, labelled_sample
 
 #: Labelled documents the model is fitted on, at most.
 TRAINING_ROWS = 6000
-MAX_FEATURES = 2048
 PREFIXES = (4, 5, 6, 7, 8)
+#: A feature is in so many toxic texts at least, and so many times as often there as in others.
+LEAST_TEXTS, LEAST_ODDS = 3, 20
+#: Grades that binary labels are refined to.
 GRADES = 4
 
 
@@ -51,14 +53,15 @@ def _margins(n: int, doc: np.ndarray, feature: np.ndarray, weights: np.ndarray)
     return np.bincount(doc, weights=weights[feature], minlength=n)
 
 
-def fit_ordinal(n: int, doc: np.ndarray, feature: np.ndarray, grade: np.ndarray, features: int, grades: int, l2: float = 0.02, steps: int = 400) -> tuple[np.ndarray, np.ndarray]:
+def fit_ordinal(n: int, doc: np.ndarray, feature: np.ndarray, grade: np.ndarray, features: int, grades: int, l2: float = 0.02, steps: int = 400, weight: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Weights and ascending cuts of the proportional-odds model, by Adam on the penalised likelihood.
 
-    (doc, feature) are the ones of a 0/1 matrix of n rows. Classes are weighted by the root of
-    their rarity.
+    (doc, feature) are the ones of a 0/1 matrix of n rows; weight is how many rows each stands
+    for. Grades are weighted by the root of their rarity besides.
     """
-    counts = np.maximum(np.bincount(grade, minlength=grades), 1)
-    weight = np.sqrt(n / counts)[grade]
+    weight = np.ones(n) if weight is None else weight
+    counts = np.maximum(np.bincount(grade, weights=weight, minlength=grades), 1e-9)
+    weight = weight * np.sqrt(weight.sum() / counts)[grade]
     weight = weight / weight.mean()
     w, first, gaps = np.zeros(features), 1.0, np.zeros(grades - 2)
     params = np.concatenate((w, [first], gaps))
@@ -86,52 +89,108 @@ def fit_ordinal(n: int, doc: np.ndarray, feature: np.ndarray, grade: np.ndarray,
     return w, first + np.concatenate(([0.0], np.cumsum(np.exp(gaps))))
 
 
-def fit_toxicity(texts: pa.Array, toxic: np.ndarray) -> OrdinalModel:
-    """The model from labelled texts.
-
-    Labels are 0 or 1. Features are those that toxic texts hold far more often than others (at
-    least 3 toxic texts, 20 times as often or more). Grade 0 is label 0; toxic texts get grades 1 to 3
-    by thirds of the number of distinct words with such a feature, the only graded evidence
-    that binary labels leave. The limit to reject at is the expected severity with the best F1
-    on the labels. Without both labels the model has no features and rejects nothing.
+@dataclass(frozen=True)
+class _Texts:
+    """Distinct features of each of n texts, sorted by text."""
+
+    n: int
+    doc: np.ndarray
+    feature: np.ndarray
+
+    @staticmethod
+    def of(texts: pa.Array) -> _Texts:
+        docs, found = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+        for lo, hi in K.slices(texts):
+            doc, feature = K.unique_per_doc(*document_features(texts[lo:hi]))
+            docs.append(doc + lo)
+            found.append(feature)
+        return _Texts(len(texts), np.concatenate(docs), np.concatenate(found))
+
+
+def _telling(held: _Texts, toxic: np.ndarray, weight: np.ndarray, use: np.ndarray) -> np.ndarray:
+    """Sorted features that the toxic ones of the texts in use hold far more often than the others."""
+    bad = use & toxic
+    names, count = np.unique(held.feature[bad[held.doc]], return_counts=True)
+    names = names[count >= LEAST_TEXTS]
+    if not len(names):
+        return names
+    at, known = _look_up(names, held.feature)
+    mine = known & use[held.doc]
+    each = weight[held.doc[mine]]
+    hit = toxic[held.doc[mine]]
+    with_bad = np.bincount(at[mine][hit], weights=each[hit], minlength=len(names))
+    with_rest = np.bincount(at[mine][~hit], weights=each[~hit], minlength=len(names))
+    odds = (with_bad / weight[bad].sum()) / ((with_rest + 0.5) / max(weight[use & ~toxic].sum(), 1e-9))
+    return names[odds >= LEAST_ODDS]
+
+
+def _look_up(names: np.ndarray, features: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(place of each feature among sorted names, whether it is there)."""
+    if not len(names):
+        return np.zeros(len(features), dtype=np.int64), np.zeros(len(features), dtype=bool)
+    at = np.minimum(np.searchsorted(names, features), len(names) - 1)
+    return at, names[at] == features
+
+
+def cross_graded(held: _Texts, toxic: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Grades from binary labels: 0, and for toxic texts 1 to 3 by thirds of the number of distinct toxic features they hold.
+
+    Which features are is told by the other half of the labelled texts, so that no text's grade
+    rests on what its own label made of its words.
+    """
+    half = np.arange(held.n) % 2 == 0
+    number = np.zeros(held.n)
+    for part in (half, ~half):
+        known = _look_up(_telling(held, toxic, weight, ~part), held.feature)[1]
+        number[part] = np.bincount(held.doc[known], minlength=held.n)[part]
+    some = number[toxic & (number > 0)]
+    limits = np.quantile(some, [1 / 3, 2 / 3]) if len(some) else (1, 1)
+    return np.where(toxic, 1 + (number > limits[0]) + (number > limits[1]), 0)
+
+
+def _fitted(held: _Texts, names: np.ndarray, grade: np.ndarray, grades: int, weight: np.ndarray, use: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(weights, cuts, expected severity of all texts) of a model fitted on the texts in use."""
+    at, known = _look_up(names, held.feature)
+    doc, feature = held.doc[known], at[known]
+    rows = np.flatnonzero(use)
+    place = np.full(held.n, -1)
+    place[rows] = np.arange(len(rows))
+    inside = use[doc]
+    w, cuts = fit_ordinal(len(rows), place[doc[inside]], feature[inside], grade[rows], len(names), grades, weight=weight[rows])
+    return w, cuts, expected_severity(_margins(held.n, doc, feature, w), cuts)
+
+
+def fit_toxicity(texts: pa.Array, label: np.ndarray, weight: np.ndarray | None = None) -> OrdinalModel:
+    """The model from labelled texts; weight is how many texts each stands for.
+
+    Labels of more than two kinds are the grades themselves, the smallest of them harmless;
+    binary ones are refined to GRADES grades by cross_graded. Features are all that texts over the
+    smallest label hold far more often than others. The limit to reject at is the expected severity
+    with the best F1, each half of the texts scored by a model of the other half. Without two kinds
+    of labels the model has no features and rejects nothing.
     """
     n = len(texts)
-    toxic = np.asarray(toxic).astype(np.int64)
+    values, level = np.unique(np.asarray(label).astype(np.int64), return_inverse=True)
     empty = OrdinalModel(np.zeros(0, np.uint64), np.zeros(0), np.array([4.0, 5.0, 6.0]), 10.0)
-    if n == 0 or toxic.min() == toxic.max():
+    if len(values) < 2:
         return empty
-    parts = []
-    for lo, hi in K.slices(texts):
-        doc, found = K.unique_per_doc(*document_features(texts[lo:hi]))
-        parts.append((doc + lo, found))
-    doc, found = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
-    names, index = np.unique(found, return_inverse=True)
-    bad = np.bincount(index, weights=toxic[doc], minlength=len(names))
-    rest = np.bincount(index, minlength=len(names)) - bad
-    n1 = max(int(toxic.sum()), 1)
-    odds = (bad / n1) / ((rest + 0.5) / (n - n1))
-    keep = np.flatnonzero((bad >= 3) & (odds >= 20))
-    keep = np.sort(keep[np.argsort(-bad[keep] * np.log(odds[keep]), kind="stable")][:MAX_FEATURES])
-    if not len(keep):
+    weight = np.ones(n) if weight is None else np.asarray(weight, dtype=np.float64) / np.mean(weight)
+    toxic, every = level > 0, np.ones(n, dtype=bool)
+    held = _Texts.of(texts)
+    names = _telling(held, toxic, weight, every)
+    if not len(names):
         return empty
-    place = np.full(len(names), -1)
-    place[keep] = np.arange(len(keep))
-    held = place[index] >= 0
-    doc, feature = doc[held], place[index[held]]
-    evidence = np.bincount(doc, minlength=n)
-    some = evidence[(toxic == 1) & (evidence > 0)]
-    limits = np.quantile(some, [1 / 3, 2 / 3]) if len(some) else np.array([1, 2])
-    grade = np.where(toxic == 1, 1 + (evidence > limits[0]) + (evidence > limits[1]), 0)
-    weights, cuts = fit_ordinal(n, doc, feature, grade, len(keep), GRADES)
-    severity = expected_severity(_margins(n, doc, feature, weights), cuts)
-    order = np.unique(severity)
-    best, reject_at = -1.0, 10.0
-    for limit in (order[1:] + order[:-1]) / 2:
-        hit = severity >= limit
-        f1 = 2 * (hit & (toxic == 1)).sum() / (hit.sum() + toxic.sum())
-        if f1 > best:
-            best, reject_at = f1, float(limit)
-    return OrdinalModel(names[keep], weights, cuts, reject_at)
+    grade = level if len(values) > 2 else cross_graded(held, toxic, weight)
+    grades = int(max(grade.max() + 1, 3))
+    weights, cuts, severity = _fitted(held, names, grade, grades, weight, every)
+    # scored by models that have not seen the text
+    half = np.arange(n) % 2 == 0
+    unseen = severity.copy()
+    for part in (half, ~half):
+        theirs = _telling(held, toxic, weight, ~part)
+        if len(theirs) and (toxic & ~part).any() and (~toxic & ~part).any():
+            unseen[part] = _fitted(held, theirs, grade, grades, weight, ~part)[2][part]
+    return OrdinalModel(names, weights, cuts, best_limit(unseen, toxic, weight))
 
 
 def expected_severity(eta: np.ndarray, cuts: np.ndarray) -> np.ndarray:
@@ -180,26 +239,33 @@ def score_toxicity(docs: DataFrame, model: OrdinalModel) -> DataFrame:
 def toxicity(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text", label_column: str = "toxic", training_rows: int = TRAINING_ROWS) -> DataFrame:
     """Severity of every document: (doc_id, severity, grade, toxic).
 
-    severity is the expected grade from 0 to 3, grade the likeliest one, toxic whether severity
-    reaches the limit found on the labels. The model is fitted on at most training_rows labelled
-    documents (a hash of the id chooses); all documents are scored, over their whole texts.
+    severity is the expected grade from 0 on (to 3 with binary labels), grade the likeliest one,
+    toxic whether severity reaches the limit found on the labels. The model is fitted on at most
+    training_rows labelled documents (a hash of the id chooses, a rare label has a fixed share);
+    all documents are scored, over their whole texts.
 
-    Defined cases: a null text has null severity and grade and is not toxic; an empty text has
-    the severity of a text without any known feature; rows of a null or repeated id are scored
-    as they stand; other columns are ignored; without labels of both kinds nothing is toxic; an
-    empty table gives no rows.
+    Defined cases: ids are integers; a null text has null severity and grade and is not toxic; an
+    empty text has the severity of a text without any known feature; rows of a null or repeated
+    id are scored as they stand; a severity equal to the limit is toxic, of equally likely grades
+    the smallest is given; other columns are ignored; without two kinds of labels nothing is
+    toxic; an empty table gives no rows.
     """
     docs = pick(docs, id=id_column, text=text_column)
     sample = labelled_sample(docs, pick(labels, id=id_column, toxic=label_column), training_rows, "toxic")
-    model = fit_toxicity(K.as_array(sample["text"]), np.asarray(sample["label"]))
+    model = fit_toxicity(K.as_array(sample["text"]), np.asarray(sample["label"]), np.asarray(sample["weight"]))
     return score_toxicity(docs, model).withColumnRenamed("id", "doc_id")
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text", label_column: str = "toxic", training_rows: int = TRAINING_ROWS) -> DataFrame:
-    """docs, all columns, without the documents toxicity() calls toxic. Scored in place: no shuffle."""
+    """docs, all columns, without the documents toxicity() calls toxic. Scored in place: no shuffle.
+
+    Defined cases: as in toxicity; rows are judged one by one, so null and empty texts and null
+    ids stay, repeated rows go together and of several texts of an id the toxic ones go; column
+    names cannot clash.
+    """
     base = pick(docs, id=id_column, text=text_column)
     sample = labelled_sample(base, pick(labels, id=id_column, toxic=label_column), training_rows, "toxic")
-    model = fit_toxicity(K.as_array(sample["text"]), np.asarray(sample["label"]))
+    model = fit_toxicity(K.as_array(sample["text"]), np.asarray(sample["label"]), np.asarray(sample["weight"]))
 
     place = docs.columns.index(text_column)
 
