@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from graphloom.llm import kernels as K
 from graphloom.llm.common import pick, table
-from graphloom.llm.labelled import sample_by_hash
+from graphloom.llm.labelled import labelled_sample
 
 #: Labelled documents the binary classifiers are fitted on, at most.
 TRAINING_ROWS = 3000
@@ -149,15 +149,17 @@ def language_id(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
 
     loss is the distance to the nearest codeword, gap how much farther the second is; ambiguous
     marks a gap under the limit that FLAG_SHARE of the right held-out answers fall under.
-    The bit classifiers are fitted on at most training_rows rows that carry a language.
+    The bit classifiers are fitted on at most training_rows rows that carry a language; a rare
+    one has a fixed share of them.
 
-    Defined cases: a null text, or one without a letter, has a null language and is ambiguous;
+    Defined cases: ids are integers; of equally near codewords that of the first language in
+    alphabetical order is taken, and flagged; a null text, or one without a letter, has a null language and is ambiguous;
     rows of a null or repeated id are answered as they stand; with a single labelled language
     every other text is of that language; with none all languages are null; other columns are
     ignored; an empty table gives no rows.
     """
     named = pick(docs, id=id_column, text=text_column, label=language_column)
-    sample = sample_by_hash(named, training_rows)
+    sample = labelled_sample(named.select("id", "text"), named.where("text is not null").select("id", "label"), training_rows, "label")
     model = fit_language_id(K.as_array(sample["text"]), sample["label"].to_pylist())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
