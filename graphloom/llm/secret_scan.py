@@ -30,6 +30,11 @@ _SYMBOLS = len(_ALPHABET) + 2
 _ASSIGNED = re.compile(r"""(?i)\b(?:token|secret|passw(?:or)?d|pwd|api[_-]?key|access[_-]?key|private[_-]?key|auth|bearer|credential)s?\b["']?\s*(?:[:=]|=>)\s*["']?([A-Za-z0-9_\-+/=]{16,})""")
 
 
+_LONG = re.compile(r"[A-Za-z0-9_\-+/=]{16,}")
+#: Share of the evidence that labelled strings have at least, and the characters from which on made ones shrink to the rest.
+LABELLED_SHARE, LEAST_LABELLED = 0.5, 20_000
+
+
 @dataclass(frozen=True)
 class MarkovPair:
     """ratio[a, b, c]: how much likelier c is after a, b in a random string than in an identifier, as a logarithm.
@@ -132,6 +137,15 @@ def _counts(strings: list[bytes]) -> np.ndarray:
     return out
 
 
+def _mixed(labelled: list[bytes], made: list[bytes]) -> np.ndarray:
+    """Counts of both, in which the labelled strings weigh at least LABELLED_SHARE (where there are any)."""
+    a, b = _counts(labelled), _counts(made)
+    if a.sum() and b.sum():
+        b = b * min(1.0, a.sum() * (1 - LABELLED_SHARE) / LABELLED_SHARE / b.sum()) if a.sum() >= LEAST_LABELLED else b
+        a = a * max(1.0, b.sum() * LABELLED_SHARE / (1 - LABELLED_SHARE) / a.sum())
+    return a + b
+
+
 def _smoothed(counts: np.ndarray) -> np.ndarray:
     """P(c | a, b), backed off to P(c | b) and P(c)."""
     one = counts.sum(axis=(0, 1)) + 0.05
@@ -161,31 +175,37 @@ def ordinary_identifiers(words: list[str], n: int, seed: int = 6) -> list[bytes]
     return out
 
 
-def train_markov(texts: list[str], seed: int = 3) -> MarkovPair:
-    """Both models from labelled texts. Strings assigned to a secret's name are random, all others ordinary; both
-    classes are filled up with made samples. The limit is the midpoint between the held-out classes' nearest scores
-    (the best balanced accuracy where they overlap)."""
-    secret, words = set(), set()
+def labelled_strings(texts: list[str], good: list[bool] | None = None) -> tuple[list[str], list[str], list[str]]:
+    """(secrets, words, long names) of labelled texts: values assigned to a secret's name; words of the good texts, and their
+    candidate strings that nothing marks as secret."""
+    secret, words, names = set(), set(), set()
     for text in texts:
+        secret |= set(_ASSIGNED.findall(text))
+    for text in texts if good is None or not any(good) else [t for t, g in zip(texts, good) if g]:
         found = set(_ASSIGNED.findall(text))
-        secret |= found
         words |= {w for w in re.findall(r"[^\W\d_]{3,}", text) if not any(w in s for s in found)}
-    words = sorted(words)
-    rng = np.random.default_rng(seed)
-    if len(words) > 60_000:
-        words = [words[i] for i in np.sort(rng.choice(len(words), 60_000, replace=False))]
-    positive = [s.encode() for s in sorted(secret)] + random_strings(4000)
-    negative = ordinary_identifiers(words, 20_000)
-    test_p, test_n = positive[4::5], [x for x in negative[4::5] if len(x) >= MIN_LENGTH]
-    train_p, train_n = [x for k, x in enumerate(positive) if k % 5 != 4], [x for k, x in enumerate(negative) if k % 5 != 4]
-    ratio = np.log(_smoothed(_counts(train_p))) - np.log(_smoothed(_counts(train_n)))
+        names |= {x for x in _LONG.findall(text) if not any(x in s or s in x for s in found)}
+    return sorted(secret), sorted(words), sorted(names - secret)
+
+
+def train_markov(texts: list[str], good: list[bool] | None = None) -> MarkovPair:
+    """Both models from labelled texts: see labelled_strings. Made samples join them, for secrets and names of forms that no
+    labelled text happens to hold; with enough labelled strings they weigh no more than those. The limit is that of the best
+    balanced accuracy on a held-out fifth of both classes, where a false alarm weighs ten misses."""
+    secret, words, names = ([x.encode() for x in part] for part in labelled_strings(texts, good))
+    plain = [w.decode() for w in words]
+    made_p, made_n = random_strings(4000), ordinary_identifiers(plain, 20_000)[len(plain) :]
+    train = lambda part: [x for k, x in enumerate(part) if k % 5 != 4]
+    held = lambda *parts: [x for part in parts for x in part[4::5]]
+    ratio = np.log(_smoothed(_mixed(train(secret), train(made_p)))) - np.log(_smoothed(_mixed(train(words) + train(names), train(made_n))))
     model = MarkovPair(ratio.astype(np.float32), 0.0)
+    test_p, test_n = held(secret, made_p), [x for x in held(words, names, made_n) if len(x) >= MIN_LENGTH]
     p, q = _scores(model, test_p), _scores(model, test_n)
     if not len(q):
         return model
     # a false alarm weighs ten misses: ordinary strings are the common case
     model = MarkovPair(model.ratio, _best_limit(p, q, 10))
-    short = [w for w in words if len(w) <= MAX_PART]
+    short = [w for w in plain if len(w) <= MAX_PART]
     if not short:
         return model
     # a stretch is chosen among many, so it has a limit of its own, from names and paths with and without a secret
@@ -222,15 +242,16 @@ def secret_scan(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", t
     runs of letters, digits and _-+/= of min_length or more bytes with an ASCII letter in them;
     of a run that is none as a whole, the stretches of min_length or more bytes with the most
     evidence, so that a path or a name before a secret does not hide it.
-    Models are trained on at most training_rows labelled documents; all texts are scanned whole.
+    Models are trained on at most training_rows labelled documents (words and names on those whose
+    label is not 0, secrets on all); all texts are scanned whole.
 
-    Defined cases: null and empty texts hold nothing; rows of a null or repeated id are scanned
+    Defined cases: ids are integers; a score equal to the limit is no secret; null and empty texts hold nothing; rows of a null or repeated id are scanned
     as they stand; a string found twice is reported twice; without labelled rows the models rest
     on made samples alone; other columns are ignored; an empty table gives no rows.
     """
     docs = pick(docs, id=id_column, text=text_column)
     sample = labelled_sample(docs, pick(labels, id=id_column, label_=label_column), training_rows, "label_")
-    model = train_markov(sample["text"].to_pylist())
+    model = train_markov(sample["text"].to_pylist(), [bool(x) for x in sample["label"].to_pylist()])
     schema = "doc_id long, start int, length int, score double, masked string"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
