@@ -11,7 +11,7 @@ ROWS = [
     (7, "x" * 100_000), (8, "é世界 ß 😀\n\nà"), (9, "one"), (10, "one"), (11, "\x00\x01 odd\r\nbytes\r\n"), (12, "the quick brown fox jumps\nover the lazy dog today"),
 ]
 #: Names that operators use inside, and names of columns they add.
-CLASH = ["id", "rep", "bands", "hash", "band", "low", "high", "size", "begin", "part", "rank", "label", "line", "lines", "grams", "spans", "tokens", "toxic", "severity", "item_id", "first_id", "__extra"]
+CLASH = ["id", "rep", "bands", "hash", "band", "low", "high", "size", "begin", "part", "rank", "label", "line", "lines", "grams", "spans", "tokens", "toxic", "severity", "item_id", "first_id", "__extra", "__lines", "__dropped", "__id", "__loser", "__leak", "dropped", "lines_", "body", "place", "keep", "task"]
 
 
 @pytest.fixture(scope="module")
