@@ -38,8 +38,9 @@ def check_types(edge_types: list[str] | None) -> list[str] | None:
 
 def reach(edges: DataFrame, starts: DataFrame, depth: int | None) -> DataFrame:
     """(root, node, hop): every node within depth hops (None: all) of the starts (root, node), at its smallest hop."""
-    # not made distinct: what a level reaches is, and that is far less than all edges
-    steps = edges.select("src", "dst")
+    # computed and shuffled once for all hops: a level then moves to its edges. Not made distinct: what a level reaches
+    # is, and that is far less than all edges
+    steps = cut(edges.select("src", "dst").repartition("src"))
     level = visited = cut(starts.select("root", "node").distinct().withColumn("hop", F.lit(0)))
     hop = 0
     while depth is None or hop < depth:
@@ -81,8 +82,9 @@ def semantic_prune(adjacent: DataFrame, similarity: DataFrame, floor: float = MI
     """adjacent (src, dst, ...) with sim from similarity (name, max_sim): callees over the floor, or all of a caller that has none over it."""
     sims = similarity.select(F.col("name").alias("dst"), F.col("max_sim").alias("sim"))
     scored = adjacent.join(sims, "dst", "left").withColumn("sim", F.coalesce("sim", F.lit(0.0)))
-    top = F.max("sim").over(Window.partitionBy("src"))
-    return scored.withColumn("__top", top).where((F.col("sim") > floor) | (F.col("__top") <= floor)).drop("__top")
+    # combined before the shuffle and joined back, so that a caller of very many callees is no single task
+    top = scored.groupBy(F.col("src").alias("__src")).agg(F.max("sim").alias("__top"))
+    return scored.join(top, F.col("src").eqNullSafe(F.col("__src"))).where((F.col("sim") > floor) | (F.col("__top") <= floor)).drop("__top", "__src")
 
 
 def fan_out(adjacent: DataFrame, limit: int = FAN_OUT, by_similarity: bool = False) -> DataFrame:
@@ -119,10 +121,12 @@ def scope_callers(refs: DataFrame, imports: DataFrame) -> DataFrame:
     known = pairs.select("from_file").distinct().withColumn("__known", F.lit(True))
     marked = refs.join(pairs.withColumn("__imports", F.lit(True)), ["file", "from_file"], "left").join(known, "from_file", "left")
     hit = F.coalesce("__imports", F.lit(False)) | F.col("file").eqNullSafe(F.col("from_file"))
-    window = Window.partitionBy("sym", "from_file")
-    marked = marked.withColumn("__hit", hit).withColumn("__any", F.max(hit.cast("int")).over(window))
+    marked = marked.withColumn("__hit", hit)
+    # combined before the shuffle and joined back: a symbol that all files call is no single task
+    some = marked.groupBy(F.col("sym").alias("__sym"), F.col("from_file").alias("__from")).agg(F.max(F.col("__hit").cast("int")).alias("__any"))
+    same = F.col("sym").eqNullSafe(F.col("__sym")) & F.col("from_file").eqNullSafe(F.col("__from"))
     keep = F.col("__known").isNull() | F.col("__hit") | (F.col("__any") == 0)
-    return marked.where(keep).select(*refs.columns)
+    return marked.join(some, same).where(keep).select(*refs.columns)
 
 
 def callers_by_distance(callers: DataFrame, distances: DataFrame, layer: str | None = None, limit: int | None = None) -> DataFrame:
@@ -133,13 +137,16 @@ def callers_by_distance(callers: DataFrame, distances: DataFrame, layer: str | N
     """
     limit = limit or (UP_FILES_LAYER if layer else UP_FILES)
     rows = layer_or_all(callers, layer, "sym", path="file").where(~is_test_file(F.col("file")))
-    per = rows.groupBy("sym", "file").agg(F.array_sort(F.collect_list(F.struct("ord", "caller"))).alias("refs"), F.min("ord").alias("ord"))
+    per = rows.groupBy("sym", "file").agg(F.count(F.lit(1)).alias("refs"), F.min("ord").alias("ord"))
     far = per.join(distances.select("file", "distance"), "file", "left")
-    window = Window.partitionBy("sym")
-    ranked = far.withColumn("rank", F.row_number().over(window.orderBy(F.asc_nulls_last("distance"), "ord", "file"))).withColumn("files", F.count(F.lit(1)).over(window))
-    names = F.transform("refs", lambda r: r["caller"])
-    return ranked.where(F.col("rank") <= limit).select(
-        "sym", "file", "rank", "distance", F.slice(names, 1, UP_CALLERS).alias("callers"), F.greatest(F.size("refs") - UP_CALLERS, F.lit(0)).alias("hidden_callers"), F.greatest(F.col("files") - limit, F.lit(0)).alias("hidden_files")
+    ranked = far.withColumn("rank", F.row_number().over(Window.partitionBy("sym").orderBy(F.asc_nulls_last("distance"), "ord", "file")))
+    totals = per.groupBy("sym").agg(F.count(F.lit(1)).alias("files"))
+    shown = ranked.where(F.col("rank") <= limit).join(totals, "sym")
+    # with the rank alone in its window, Spark drops callers over the limit before the shuffle
+    first = rows.withColumn("place", F.row_number().over(Window.partitionBy("sym", "file").orderBy("ord", "caller"))).where(F.col("place") <= UP_CALLERS)
+    names = first.groupBy("sym", "file").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "caller"))), lambda r: r["caller"]).alias("callers"))
+    return shown.join(names, ["sym", "file"]).select(
+        "sym", "file", "rank", "distance", "callers", F.greatest(F.col("refs") - UP_CALLERS, F.lit(0)).cast("int").alias("hidden_callers"), F.greatest(F.col("files") - limit, F.lit(0)).alias("hidden_files")
     )
 
 
@@ -153,7 +160,7 @@ def impact(
     the order of the frontier and of the edges.
     """
     check_types(edge_types)
-    turned = edges.select(F.col("dst").alias("sym"), F.col("src").alias("caller"), "file", "edge_type", "ord")
+    turned = cut(edges.select(F.col("dst").alias("sym"), F.col("src").alias("caller"), "file", "edge_type", "ord").repartition("sym"))
     level = cut(starts.select(F.col("symbol"), "file").distinct().withColumns({"hop": F.lit(0), "edge_type": F.lit(None).cast("string"), "place": F.lit(0).cast("bigint")}))
     visited, found = level.select("symbol", "file"), []
     for hop in range(1, clamp_depth(depth) + 1):

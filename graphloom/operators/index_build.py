@@ -6,6 +6,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Places that the calls of one file take in the order of all calls.
+FILE_STEP = 1 << 34
+
+
 def coerce_calls(raw: DataFrame, column: str = "calls") -> DataFrame:
     """Calls as (name, edge_type, event): an old file's bare string is a plain call, a missing type is call.
 
@@ -33,11 +37,13 @@ def symbol_map(symbols: DataFrame) -> DataFrame:
 def edges_of(symbols: DataFrame) -> DataFrame:
     """(src, dst, file, edge_type, event, ord) from symbols with calls; a listener's edge leads from its event to the handler.
 
-    ord follows file, symbol and call order; duplicates stay.
+    ord follows file, symbol and call order; duplicates stay. A file has under FILE_STEP calls: more would not fit a text.
     """
-    flat = symbols.select("file", "file_ord", "sym_ord", F.col("name").alias("symbol"), F.posexplode("calls").alias("call_ord", "call"))
+    # calls of the symbols before in the same file: symbols may have any number of them
+    earlier = F.sum(F.greatest(F.size("calls"), F.lit(0)).cast("long")).over(Window.partitionBy("file").orderBy("sym_ord").rowsBetween(Window.unboundedPreceding, -1))
+    flat = symbols.withColumn("before", F.coalesce(earlier, F.lit(0).cast("long"))).select("file", "file_ord", "before", F.col("name").alias("symbol"), F.posexplode("calls").alias("call_ord", "call"))
     listens = (F.col("call.edge_type") == "event_listen") & F.col("call.event").isNotNull()
-    order = (F.col("file_ord").cast("long") * (1 << 34)) + (F.col("sym_ord").cast("long") * (1 << 14)) + F.col("call_ord")
+    order = F.col("file_ord").cast("long") * FILE_STEP + F.col("before") + F.col("call_ord")
     return flat.select(
         F.when(listens, F.col("call.event")).otherwise(F.col("symbol")).alias("src"),
         F.col("call.name").alias("dst"),

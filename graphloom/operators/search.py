@@ -4,12 +4,12 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from graphloom.functions.text import in_layer, length_penalty, raw_score, subsequence_pattern
 from graphloom.operators.vectors import best_similarity
-from graphloom.plans.session import small
+from graphloom.plans.session import cut, small
 
 PREFIX_NAMES, FUZZY_CANDIDATES, FUZZY_KEPT, FUZZY_SHOWN, PATHS_SHOWN = 5, 50, 20, 5, 15
 MIN_CONFIDENCE = 0.3
@@ -46,6 +46,18 @@ def exact(symbols: DataFrame, query: str, layer: str | None = None) -> DataFrame
     return layer_or_all(symbols.where(F.col("name") == query).select("name", F.col("file").alias("path")).distinct(), layer, "name")
 
 
+def _numbered(found: DataFrame) -> DataFrame:
+    """found with n_, the place of each row by path: sorted by ranges, with no window over all rows."""
+    ordered = cut(found.repartitionByRange("path").sortWithinPartitions("path").withColumn("part_", F.spark_partition_id()).withColumn("at_", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))))
+    sizes, before, at = sorted((r["part_"], r["count"]) for r in ordered.groupBy("part_").count().collect()), [], 0
+    for part, n in sizes:
+        before.append((part, at))
+        at += n
+    # one row a partition of the range shuffle
+    offsets = found.sparkSession.createDataFrame(before, "part_ int, before_ long")
+    return ordered.join(F.broadcast(offsets), "part_").withColumn("n_", F.col("before_") + F.col("at_") + 1).drop("part_", "at_", "before_")
+
+
 def first_names(symbols: DataFrame) -> DataFrame:
     """(name, ord): distinct names in order of first appearance."""
     return symbols.groupBy("name").agg(F.min(F.struct("file_ord", "sym_ord")).alias("ord"))
@@ -128,9 +140,9 @@ def search(
     empty = spark.createDataFrame([], RESULT)
     out, seen = empty, None
 
-    def rows(df: DataFrame, tier: str, order: list, **columns) -> DataFrame:  # type: ignore[no-untyped-def]
-        # all tiers with an order are cut to a few rows, or are the files of one name
-        rank = F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(*order)) if order else F.lit(None)
+    def rows(df: DataFrame, tier: str, order: list | Column, **columns) -> DataFrame:  # type: ignore[no-untyped-def]
+        # tiers that are cut to a few rows; the files of one name, which may be many, are numbered by _numbered()
+        rank = order if isinstance(order, Column) else F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(*order)) if order else F.lit(None)
         given = {"name": "string", "path": "string", "score": "double", "n": "bigint", "example": "string"}
         return df.select(F.lit(tier).alias("tier"), rank.cast("int").alias("rank"), *(columns.get(c, F.lit(None)).cast(t).alias(c) for c, t in given.items()))
 
@@ -139,12 +151,12 @@ def search(
         out = out.unionByName(rows(hints(rules, asked), "hint", ["hint"], example=F.col("hint")))
     found = exact(symbols, query, layer)
     if not found.isEmpty():
-        out, seen = out.unionByName(rows(found, "exact", ["path"], name=F.col("name"), path=F.col("path"))), found
+        out, seen = out.unionByName(rows(_numbered(found), "exact", F.col("n_"), name=F.col("name"), path=F.col("path"))), found
     else:
         names = prefix_names(symbols, query).collect()
         if len(names) == 1:
             found = exact(symbols, names[0]["name"], layer)
-            out, seen = out.unionByName(rows(found, "prefix", ["path"], name=F.col("name"), path=F.col("path"))), found
+            out, seen = out.unionByName(rows(_numbered(found), "prefix", F.col("n_"), name=F.col("name"), path=F.col("path"))), found
         elif names:
             listed = spark.createDataFrame([(r["name"], k) for k, r in enumerate(names)], "name string, k int")
             out = out.unionByName(rows(listed, "prefix", ["k"], name=F.col("name")))

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -19,24 +18,10 @@ from graphloom.operators import search as S
 from graphloom.operators import telemetry as T
 from graphloom.operators import vectors as V
 from graphloom.plans.session import shared_folder, small
+from graphloom.registry import ORACLE_SQL, QUERIES, query
 from graphloom.sources.driver import LINK_EDGES_SQL, document_files, link_edges, page_links, page_tags, part_symbols, table
 from graphloom.streaming import refresh as R
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None) -> Callable[[Query], Query]:
-    def register(f: Query) -> Query:
-        QUERIES[f.__name__] = f
-        if sql is not None:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return register
-
-
 def long(*columns: str) -> list:
     return [F.col(c).cast("bigint").alias(c) for c in columns]
 
@@ -49,11 +34,11 @@ def symbol_map(spark: SparkSession, sf: str) -> DataFrame:
     return D.symbol_map(part_symbols(spark, sf))
 
 
-@query(f"WITH e AS ({LINK_EDGES_SQL}) SELECT dst, count(*) AS callers, list_sort(list(src || ':' || edge_type)) AS refs FROM e WHERE dst LIKE 's%' OR dst LIKE 'n%' GROUP BY 1")
+@query(f"WITH e AS ({LINK_EDGES_SQL}) SELECT dst, count(*) AS callers, list(src || ':' || edge_type ORDER BY src || ':' || edge_type) AS refs FROM e WHERE dst LIKE 's%' OR dst LIKE 'n%' GROUP BY 1")
 def reverse_edges(spark: SparkSession, sf: str) -> DataFrame:
     e = link_edges(spark, sf).where(F.startswith("dst", F.lit("s")) | F.startswith("dst", F.lit("n")))
-    refs = F.sort_array(F.collect_list(F.concat_ws(":", "src", "edge_type")))
-    return e.groupBy("dst").agg(F.count(F.lit(1)).alias("callers"), refs.alias("refs"))
+    turned = D.reverse_calls(e.withColumns({"file": F.lit("all"), "ord": F.concat_ws(":", "src", "edge_type")}))
+    return turned.select("dst", F.size("callers").cast("bigint").alias("callers"), F.transform("callers", lambda r: F.concat_ws(":", r["caller"], r["edge_type"])).alias("refs"))
 
 
 @query(
@@ -355,9 +340,13 @@ def text_match_by_doc(spark: SparkSession, sf: str) -> DataFrame:
     return S.text_matches(docs, "token = ")
 
 
-@query("SELECT url AS path, regexp_matches(lower(url), '(test|spec)|/e2e/') AS looks_tested, string_split(url, '/')[-1] AS base FROM pages")
+_PAGE_PATH = "url || CASE page_id % 5 WHEN 0 THEN '/a.spec.ts' WHEN 1 THEN '/E2E/b.ts' WHEN 2 THEN '/__tests__/c.ts' WHEN 3 THEN '/spec.tsx' ELSE '/d.test.tsx' END"
+
+
+@query(f"SELECT {_PAGE_PATH} AS path, page_id % 5 <> 3 AS tested, string_split({_PAGE_PATH}, '/')[-1] AS base FROM pages WHERE NOT regexp_matches(lower(url), '[.](test|spec)[.]ts|/e2e/|/__tests__/')")
 def path_functions(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "pages").select(F.col("url").alias("path"), F.lower("url").rlike("(test|spec)|/e2e/").alias("looks_tested"), X.basename(F.col("url")).alias("base"))
+    p = table(spark, sf, "pages").where(~F.lower("url").rlike("[.](test|spec)[.]ts|/e2e/|/__tests__/")).select(F.expr(_PAGE_PATH).alias("path"))
+    return p.select("path", X.is_test_file(F.col("path")).alias("tested"), X.basename(F.col("path")).alias("base"))
 
 
 # lookup and telemetry
