@@ -267,3 +267,21 @@ def drop_near_copies(docs: DataFrame, id_column: str = "doc_id", text_column: st
 
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard_join(table(spark, sf_dir, "documents"))
+
+
+#: All pairs by their shared n-grams. MinHash finds a pair at the threshold with the target recall, others with more.
+OP1_SQL = rf"""
+WITH words AS (
+    SELECT doc_id, regexp_extract_all(lower(text), '[0-9a-z_\x{{80}}-\x{{10FFFF}}]+') AS w FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL
+), grams AS (
+    SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < {N_GRAM} THEN [array_to_string(w, ' ')]
+        ELSE list_transform(range(1, len(w) - {N_GRAM} + 2), lambda i: array_to_string(w[i : i + {N_GRAM} - 1], ' ')) END) AS gram
+    FROM words
+), sizes AS (
+    SELECT doc_id, count(*) AS n FROM grams GROUP BY 1
+), shared AS (
+    SELECT a.doc_id AS doc_a, b.doc_id AS doc_b, count(*) AS c FROM grams a JOIN grams b ON a.gram = b.gram AND a.doc_id < b.doc_id GROUP BY 1, 2
+)
+SELECT doc_a, doc_b, c::DOUBLE / (x.n + y.n - c) AS jaccard FROM shared JOIN sizes x ON x.doc_id = doc_a JOIN sizes y ON y.doc_id = doc_b
+WHERE c::DOUBLE / (x.n + y.n - c) >= {THRESHOLD}
+"""

@@ -10,7 +10,7 @@ from graphloom.llm.bpe import op8_bpe
 from graphloom.llm.decontamination import op9_decontamination
 from graphloom.llm.language_id import op2_language_id
 from graphloom.llm.line_dedup import OP5_SQL, op5_line_dedup
-from graphloom.llm.ngram_join import op1_ngram_jaccard_join
+from graphloom.llm.ngram_join import OP1_SQL, op1_ngram_jaccard_join
 from graphloom.llm.quality import op3_quality_rules
 from graphloom.llm.secret_scan import op6_secret_scan
 from graphloom.llm.sharding import OP7_SQL, op7_minimax_shards
@@ -31,6 +31,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_ngram_jaccard_join": OP1_SQL,
     "op5_line_dedup": OP5_SQL,
     "op7_minimax_shards": OP7_SQL,
 }
