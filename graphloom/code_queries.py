@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from graphloom.operators import evaluate as E
 from graphloom.operators import extract, lookup
 from graphloom.operators import index_build as D
 from graphloom.operators import search as S
@@ -231,3 +232,43 @@ def search_confident(spark: SparkSession, sf: str) -> DataFrame:
     scored = table(spark, sf, "part").groupBy(F.col("p_name").alias("name")).agg(F.round(F.max("p_size") / 100.0, 6).alias("final"))
     return S.confident(scored).select("name", "final")
 
+
+
+# recorded sessions
+
+_LOGGED_SQL = """w AS (SELECT conv_id, turn, role, sum((role = 'user')::INTEGER) OVER (PARTITION BY conv_id ORDER BY turn) AS t FROM conversations),
+    c AS (SELECT conv_id, t, turn, row_number() OVER (PARTITION BY conv_id, t ORDER BY turn) AS call, CASE turn % 3 WHEN 0 THEN 'graph' WHEN 1 THEN 'implement' ELSE 'search' END AS tool, CASE WHEN turn % 4 = 1 THEN '✗' ELSE '✓' END AS status FROM w WHERE role = 'assistant' AND t > 0)"""
+
+
+def _sessions(spark: SparkSession, sf: str) -> DataFrame:
+    """A terminal's recording of each conversation: what the user asks, and a tool's box and an answer for the assistant."""
+    turn = F.col("turn").cast("string")
+    tool = F.when(F.col("turn") % 3 == 0, "graph").when(F.col("turn") % 3 == 1, "implement").otherwise("search")
+    mark = F.when(F.col("turn") % 4 == 1, "✗").otherwise("✓")
+    box = F.concat(F.lit("\x1b[32m╭──────╮\x1b[0m\r\n│ "), mark, F.lit(" "), tool, F.lit(' {"symbol":"s'), turn, F.lit('"} │\r\n│ found '), turn, F.lit(" │\n╰──────╯\n✦ answer "), turn, F.lit("\n"))
+    said = F.when(F.col("role") == "user", F.concat(F.lit("> \x1b[1mask "), turn, F.lit("\x1b[0m\r\n"))).when(F.col("role") == "assistant", box).otherwise("a note\n")
+    rows = table(spark, sf, "conversations").select("conv_id", "turn", said.alias("said"))
+    ordered = F.array_sort(F.collect_list(F.struct("turn", "said")))
+    return rows.groupBy(F.col("conv_id").alias("session_id")).agg(F.array_join(F.transform(ordered, lambda r: r["said"]), "").alias("text"))
+
+
+@query(f"WITH {_LOGGED_SQL} SELECT conv_id AS session_id, t::INTEGER AS turn, call::INTEGER AS call, tool, status, 's' || turn::VARCHAR AS symbol, ['found ' || turn::VARCHAR] AS result_lines FROM c")
+def session_calls(spark: SparkSession, sf: str) -> DataFrame:
+    """Tool calls of cleaned recordings, with their arguments and results."""
+    calls = E.parse_sessions(E.log_lines(_sessions(spark, sf)))[1]
+    return calls.select("session_id", "turn", "call", "tool", "status", F.col("args")["symbol"].alias("symbol"), F.filter("result_lines", lambda x: x != "").alias("result_lines"))
+
+
+@query(
+    f"""WITH {_LOGGED_SQL} SELECT conv_id AS session_id, t::INTEGER AS turn, 'ask ' || min(CASE WHEN role = 'user' THEN turn END)::VARCHAR AS query,
+    coalesce(string_agg(CASE WHEN role = 'assistant' THEN 'answer ' || turn::VARCHAR END, chr(10) ORDER BY turn), '') AS answer FROM w WHERE t > 0 GROUP BY 1, 2"""
+)
+def session_answers(spark: SparkSession, sf: str) -> DataFrame:
+    return E.parse_sessions(E.log_lines(_sessions(spark, sf)))[0].select("session_id", "turn", "query", "answer")
+
+
+@query(f"WITH {_LOGGED_SQL} SELECT conv_id AS session_id, count(*) AS calls, round(avg((tool = 'implement')::INTEGER), 6) AS share FROM c WHERE status = '✓' GROUP BY 1")
+def session_tool_share(spark: SparkSession, sf: str) -> DataFrame:
+    """Of successful calls alone."""
+    calls = E.parse_sessions(E.log_lines(_sessions(spark, sf)))[1]
+    return E.call_share(calls, "implement").select("session_id", "calls", F.round("share", 6).alias("share"))

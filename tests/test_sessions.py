@@ -106,3 +106,53 @@ def test_refresh_replaces_and_removes(spark, tmp_path):
     tables = R.ordered(R.read_snapshot(spark, folder))
     assert [r["name"] for r in tables["symbols"].collect()] == ["f2"]
     assert [(r["src"], r["dst"]) for r in tables["edges"].collect()] == [("f2", "go")]
+
+
+def test_a_batch_writes_its_buckets_alone(spark, tmp_path):
+    folder = str(tmp_path / "index")
+    files = [(f"d/f{k}.ts", f"export function f{k}() {{ go{k}(); }}") for k in range(40)]
+    frame = lambda rows: spark.createDataFrame(rows, "path string, content string")
+    assert R.refresh(frame(files), folder) == 1
+    assert R.refresh(frame([("d/f3.ts", "export function g3() { stay(); }")]), folder) == 2
+    manifest = R._manifest(spark, folder, 2)
+    assert sum(v == 2 for v in manifest["places"]["symbols"].values()) == 1
+    present = spark.createDataFrame([(p,) for p, _ in files if p != "d/f5.ts"], "path string")
+    assert R.refresh(frame([]), folder, R.vanished(spark, folder, present)) == 3
+    now = R.read_snapshot(spark, folder)
+    want = {f"f{k}" for k in range(40)} - {"f3", "f5"} | {"g3"}
+    assert {r["name"] for r in now["symbols"].collect()} == want and now["files"].count() == 39
+    assert {r["name"] for r in R.read_snapshot(spark, folder, 1)["symbols"].collect()} == {f"f{k}" for k in range(40)}
+    assert R.refresh(frame([("d/f3.ts", "export function h3() { stay(); }")]), folder) == 4
+    # the bucket that version 2 wrote is version 4's now
+    assert R.vacuum(spark, folder, 1) == [2] and R.read_snapshot(spark, folder)["files"].count() == 39
+
+
+def test_streamed_batches_take_deletions_along(spark, tmp_path):
+    source, folder = str(tmp_path / "in"), str(tmp_path / "index")
+    rows = [("a.ts", "function a() { b(); }"), ("b.ts", "function b() {}")]
+    for batch, listed in ((rows, ["a.ts", "b.ts"]), ([("c.ts", "function c() {}")], ["a.ts", "c.ts"])):
+        spark.createDataFrame(batch, "path string, content string").coalesce(1).write.mode("append").parquet(source)
+        stream = spark.readStream.schema("path string, content string").parquet(source)
+        R.watch(stream, folder, str(tmp_path / "state"), present=lambda listed=listed: spark.createDataFrame([(x,) for x in listed], "path string")).awaitTermination()
+    assert {r["name"] for r in R.read_snapshot(spark, folder)["symbols"].collect()} == {"a", "c"}
+
+
+def test_embedding_waits_saves_and_goes_on_without(spark, tmp_path):
+    from graphloom.operators import vectors as V
+
+    class Busy(Exception):
+        retry_after = 0.01
+
+    assert V.suggested_wait(Busy()) == 0.01 and V.suggested_wait(ValueError("please retry in 2.5s")) == 2.5 and V.suggested_wait(ValueError("no")) is None
+    contexts = spark.createDataFrame([(f"n{k}", "f", "m", f"text {k}") for k in range(30)], "name string, file string, md5 string, context string")
+    path = str(tmp_path / "cache")
+    done = V.embed_into(contexts.where("name < 'n2'"), path, "1", lambda texts: [[1.0, 2.0, 3.0] for _ in texts], every=1, dims=2, pause=0.0)
+    first = done.count()
+    assert 0 < first < 30 and all(r["vec"] == [1.0, 2.0] for r in done.collect())
+    again = V.embed_into(contexts, path, "1", lambda texts: [[5.0, 6.0] for _ in texts], pause=0.0)
+    assert again.count() == 30 and again.where("vec[0] = 1.0").count() == first and V.read_cache(spark, path, "2").count() == 0
+
+    def broken(texts):
+        raise ValueError("down")
+
+    assert V.embed_query(spark, broken, "x") is None and V.embed_query(spark, lambda t: [[1.0, 2.0]], "x", dims=1).first()["query_vec"] == [1.0]
