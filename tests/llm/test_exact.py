@@ -66,8 +66,42 @@ def test_bands_reach_the_target_recall():
         assert 1 - (1 - t**r) ** b >= 0.95 and b * r <= ngram_join.MAX_PERMUTATIONS
 
 
+def brute_classes(ids, pairs):
+    """{id: (smallest id of its class, links)}"""
+    root, links = {k: k for k in ids}, Counter(k for p in pairs for k in p)
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in pairs:
+        a, b = find(a), find(b)
+        root[max(a, b)] = min(a, b)
+    return {k: (find(k), links[k]) for k in root}
+
+
 def test_join_query_against_all_pairs(spark, texts):
-    got = {(r["doc_a"], r["doc_b"]): r["jaccard"] for r in registry.QUERIES["op1_ngram_jaccard_join"](spark, SF).collect()}
+    rows = registry.QUERIES["op1_ngram_jaccard_join"](spark, SF).collect()
+    got = {r["doc_id"]: (r["class_id"], r["links"]) for r in rows}
+    assert len(rows) == len(texts) and got == brute_classes(texts, brute_pairs(texts, ngram_join.THRESHOLD))
+
+
+def test_classes_have_a_row_a_document_and_all_links(spark):
+    """Copies of three near texts, texts alone and one without words: as many rows as documents, links as in the pairs."""
+    rng = random.Random(8)
+    base = prose(rng, 80).split()
+    near = [" ".join(base[:40] + [prose(rng, 1) for _ in range(k)] + base[40:]) for k in range(3)]
+    rows = [(k, near[k % 3].upper() if k % 2 else near[k % 3]) for k in range(30)] + [(30 + k, prose(rng, 50)) for k in range(5)] + [(40, " . "), (41, None), (None, near[0]), (3, near[0])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    out = ngram_join.ngram_jaccard_classes(docs).collect()
+    want = brute_classes({k for k, _ in rows if k is not None}, brute_pairs({k: t for k, t in rows if k is not None}, ngram_join.THRESHOLD))
+    assert len(out) == 37 and {r["doc_id"]: (r["class_id"], r["links"]) for r in out} == want
+    assert want[29] == (0, 29) and want[40] == (40, 0)
+
+
+def test_join_against_all_pairs(spark, texts):
+    got = {(r["doc_a"], r["doc_b"]): r["jaccard"] for r in ngram_join.ngram_jaccard_join(common.table(spark, SF, "documents")).collect()}
     want = brute_pairs(texts, ngram_join.THRESHOLD)
     assert set(got) <= set(want) and len(got) >= 0.9 * len(want)
     assert all(abs(got[p] - want[p]) < 1e-12 for p in got)
