@@ -1,4 +1,4 @@
-"""Bounded samples of labelled rows, for the models that are fitted on the driver."""
+"""Bounded samples of labelled rows, for the models that are fitted on the driver, and limits of scores."""
 
 from __future__ import annotations
 
@@ -7,6 +7,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from graphloom.llm.common import ranges
+
 
 def quotas(counts: dict, bound: int) -> dict:
     """Rows of each class in a sample of at most bound: an equal share of half the bound for every class (all of a rarer one), the rest in proportion."""
@@ -50,3 +52,21 @@ def best_limit(score: np.ndarray, positive: np.ndarray, weight: np.ndarray) -> f
     f1 = 2 * hits[last[:-1]] / (alarms[last[:-1]] + (weight * positive).sum())
     k = last[int(np.argmax(f1))]
     return float((score[order][k] + score[order][k + 1]) / 2)
+
+
+def best_limit_over(rows: DataFrame) -> float:
+    """best_limit of all rows (score, positive), each of weight one: ranges of scores are summed, then each is searched from the sums before it."""
+    rows = rows.groupBy("score").agg(F.sum(F.col("positive").cast("long")).alias("hits"), F.count(F.lit(1)).alias("alarms"))
+    steps = ranges(rows, F.desc("score"))
+    hits = alarms = 0
+    before, lowest = [], None
+    for r in sorted(steps.groupBy("part").agg(F.sum("hits").alias("hits"), F.sum("alarms").alias("alarms"), F.min("score").alias("least")).collect(), key=lambda r: r["part"]):
+        before.append((r["part"], hits, alarms))
+        hits, alarms, lowest = hits + r["hits"], alarms + r["alarms"], r["least"]
+    offset = rows.sparkSession.createDataFrame(before, "part int, hits_before long, alarms_before long")
+    down = Window.partitionBy("part").orderBy(F.desc("score"))
+    f1 = 2 * (F.sum("hits").over(down) + F.col("hits_before")) / (F.sum("alarms").over(down) + F.col("alarms_before") + F.lit(hits))
+    best = steps.join(F.broadcast(offset), "part").select("score", f1.alias("f1")).where(F.col("score") > F.lit(lowest)).agg(F.max(F.struct("f1", "score"))).first()[0]
+    if best is None:
+        return float("inf")
+    return (best["score"] + steps.where(F.col("score") < best["score"]).agg(F.max("score")).first()[0]) / 2

@@ -328,6 +328,39 @@ def test_quality_query_against_paths(spark, texts):
         assert rows[k]["anomaly"] == pytest.approx(plain) and rows[k]["keep"] == (rows[k]["anomaly"] < forest.anomalous_over)
 
 
+def test_quality_is_fitted_on_all_labelled_rows(spark):
+    """More labels than a sample of 6,000 holds: forest and limit are those of all rows, in whatever partitions."""
+    rng = random.Random(9)
+    rows = [(k, prose(rng, 6) if k % 9 else "".join(rng.choice("#%&0123 aB!") for _ in range(40))) for k in range(8000)]
+    good = [int(k % 9 > 0) if k % 50 else k // 50 % 2 for k in range(8000)]
+    docs, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(list(enumerate(good)), "doc_id long, quality int")
+    forest = quality.fit_quality(pa.array([t for _, t in rows]), np.array(good))
+    want = forest.score(quality.rule_statistics(pa.array([t for _, t in rows])))
+    for parts in (3, 11):
+        got = {r["doc_id"]: r for r in quality.quality_rules(docs.repartition(parts), labels.repartition(parts)).collect()}
+        assert np.allclose([got[k]["anomaly"] for k in range(8000)], want, rtol=1e-12)
+        assert [got[k]["keep"] for k in range(8000)] == (want < forest.anomalous_over).tolist()
+
+
+def test_trees_draw_from_all_rows_of_their_half():
+    draws = quality.draw(900, 200)
+    assert len(draws.trees) == quality.TREES and {len(g) + len(b) for g, b in draws.trees} == {draws.size} == {quality.SUBSAMPLE}
+    assert len(draws.ranks(0)) == 900 and len(draws.ranks(1)) > 150
+    for k, (g, b) in enumerate(draws.trees):
+        assert set(g % 2) | set(b % 2) == {k // (quality.TREES // 2)} and len(set(g)) == len(g)
+    assert 0.01 < np.mean([len(b) for _, b in draws.trees]) / draws.size < 0.03
+    assert quality.draw(0, 9).size == quality.draw(0, 0).size == 0 and quality.draw(9, 1).halves == 1
+
+
+def test_limit_over_rows_in_ranges(spark):
+    rng = np.random.default_rng(4)
+    for n, steps in ((3000, 3000), (2000, 40), (5, 1), (0, 1)):
+        positive = rng.random(n) < 0.2
+        score = np.round(rng.normal(size=n) + 1.5 * positive, 12 if steps > 40 else 1) if steps > 1 else np.zeros(n)
+        df = spark.createDataFrame([(float(x), bool(p)) for x, p in zip(score, positive)], "score double, positive boolean")
+        assert labelled.best_limit_over(df) == labelled.best_limit(score, positive, np.ones(n))
+
+
 def test_toxicity_query_against_plain_sums(spark, texts):
     sample = _sample(spark, "toxic", toxicity.TRAINING_ROWS, "toxic")
     model = toxicity.fit_toxicity(K.as_array(sample["text"]), np.asarray(sample["label"]), np.asarray(sample["weight"]))
