@@ -150,6 +150,15 @@ def index_search_text(spark: SparkSession, sf: str) -> DataFrame:
     return chain_index(spark, sf).search("fn10();").where("tier = 'text'").select("tier", "path", "n", "example")
 
 
+def _callers(index: Index, symbol: str, kind: str, **how) -> DataFrame:
+    """The columns of kind of graph(symbol, "up"); no rows, as in SQL, where the tables are too small to hold the symbol."""
+    try:
+        found = index.graph(symbol, "up", **how)
+    except LookupError:
+        return index.spark.createDataFrame([], kind)
+    return found.select(*(c.split()[0] for c in kind.split(", ")))
+
+
 _SEEN_SQL = "r(m, hop) AS (SELECT {start}::BIGINT, 0 UNION SELECT {step}, r.hop + 1 FROM r JOIN e ON {on} WHERE r.hop < {depth}{more}), b AS (SELECT m, min(hop) AS hop FROM r GROUP BY 1)"
 
 
@@ -178,7 +187,7 @@ def index_graph_down_layer(spark: SparkSession, sf: str) -> DataFrame:
 )
 def index_graph_up(spark: SparkSession, sf: str) -> DataFrame:
     """The tree of callers, level by level, without test files."""
-    return chain_index(spark, sf).graph("fn29", "up", 3).select("hop", "sym", "file", "rank", "callers", "hidden_callers", "hidden_files")
+    return _callers(chain_index(spark, sf), "fn29", "hop int, sym string, file string, rank int, callers array<string>, hidden_callers int, hidden_files long", depth=3)
 
 
 @query(
@@ -188,7 +197,7 @@ def index_graph_up(spark: SparkSession, sf: str) -> DataFrame:
 )
 def index_graph_up_layer(spark: SparkSession, sf: str) -> DataFrame:
     """Callers of the layer, or all of a symbol that has none there."""
-    return chain_index(spark, sf).graph("fn29", "up", 3, layer="server").select("hop", "sym", "file", "rank", "callers")
+    return _callers(chain_index(spark, sf), "fn29", "hop int, sym string, file string, rank int, callers array<string>", depth=3, layer="server")
 
 
 @query(
@@ -197,7 +206,7 @@ def index_graph_up_layer(spark: SparkSession, sf: str) -> DataFrame:
 )
 def index_impact(spark: SparkSession, sf: str) -> DataFrame:
     """Impact in a layer: callers elsewhere and test files are neither shown nor followed."""
-    return chain_index(spark, sf).graph("fn29", "up", 4, layer="server", mode="impact")
+    return _callers(chain_index(spark, sf), "fn29", "hop int, symbol string, file string, edge_type string", depth=4, layer="server", mode="impact")
 
 
 @query(
