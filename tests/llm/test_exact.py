@@ -151,6 +151,46 @@ def test_blocks_of_a_crowd_verify_the_same(spark, monkeypatch):
     assert {tuple(r) for r in ngram_join.ngram_jaccard_join(df).collect()} == one and len(one) > 100
 
 
+def test_crowded_buckets_give_the_same(spark, monkeypatch):
+    rng = random.Random(11)
+    rows = []
+    for size in (45, 30, 1, 2):
+        base = prose(rng, 80).split()
+        rows += [(len(rows) + k, " ".join(w if rng.random() > 0.04 else rng.choice(WORDS) for w in base)) for k in range(size)]
+    rows += [(1000 + k, rows[k][1]) for k in range(0, 60, 7)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+
+    def both():
+        pairs = {tuple(r) for r in ngram_join.ngram_jaccard_join(df).collect()}
+        return pairs, {r["doc_id"]: (r["class_id"], r["links"]) for r in ngram_join.ngram_jaccard_classes(df).collect()}, {r["doc_id"] for r in ngram_join.drop_near_copies(df).collect()}
+
+    want, listed, verify = both(), [], ngram_join._verify
+    # what is listed as pairs does not grow with the square of a crowd
+    monkeypatch.setattr(ngram_join, "_verify", lambda pairs, *rest: (listed.append(pairs.count()), verify(pairs, *rest))[1])
+    monkeypatch.setattr(ngram_join, "BLOCK_DOCS", 8)
+    monkeypatch.setattr(ngram_join, "COLUMNS", 50)
+    for hot in (1, 6):
+        monkeypatch.setattr(ngram_join, "HOT", hot)
+        assert both() == want
+    assert len(want[0]) > 800 and listed[0] == 0 and max(listed) < 400
+
+
+def test_larger_crowd_ships_few_pairs(spark, monkeypatch):
+    rng = random.Random(12)
+    base = prose(rng, 60).split()
+    rows = [(k, " ".join(w if rng.random() > 0.01 else rng.choice(WORDS) for w in base) + f" {k}") for k in range(300)]
+    df, listed, verify = spark.createDataFrame(rows, "doc_id long, text string"), [], ngram_join._verify
+    monkeypatch.setattr(ngram_join, "_verify", lambda pairs, *rest: (listed.append(pairs.count()), verify(pairs, *rest))[1])
+    got = {r["doc_id"]: (r["class_id"], r["links"]) for r in ngram_join.ngram_jaccard_classes(df).collect()}
+    pairs = brute_pairs(dict(rows), ngram_join.THRESHOLD)
+    assert listed[0] < 64 * len(rows) / 2 < len(pairs)
+    links = {k: 0 for k, _ in rows}
+    for a, b in pairs:
+        links[a] += 1
+        links[b] += 1
+    assert all(got[k][0] == 0 and 0.95 * links[k] <= got[k][1] <= links[k] for k in links)
+
+
 def test_components_of_chains_and_stars(spark):
     rng = random.Random(7)
     edges = [(k, k + 1) for k in range(40)] + [(100, k) for k in range(101, 130)] + [(rng.randint(200, 260), rng.randint(200, 260)) for _ in range(30)]
