@@ -16,7 +16,7 @@ from graphloom.functions.text import edge_label, hop_label, in_layer, is_test_fi
 from graphloom.operators.index_build import adjacency, of_types
 from graphloom.operators.search import layer_or_all
 from graphloom.plans.schema import EDGE_TYPES
-from graphloom.plans.session import cut
+from graphloom.plans.session import cut, small_rows
 
 DEFAULT_DEPTH, MAX_DEPTH, FAN_OUT, UP_FILES, UP_FILES_LAYER, UP_CALLERS, IMPACT_SHOWN = 4, 6, 6, 5, 8, 3, 15
 MIN_SIMILARITY = 0.1
@@ -102,14 +102,33 @@ def down_capped(edges: DataFrame, symbols: DataFrame, starts: DataFrame, depth:
     """(root, hop, src, dst, edge_type, rank, hidden): the edges that the capped tree of each start (root, node) can show.
 
     Any node may be a start, events too. The cap of a node depends on the node alone, so the
-    tree's edges are those of a level-by-level walk over capped edges.
+    tree's edges are those of a level-by-level walk over capped edges; a level's edges alone are
+    made distinct, ranked and capped, once for each node, and the others are only read.
     """
-    near = layer_pass(adjacency(edges, check_types(edge_types)), symbols, layer)
-    if similarity is not None:
-        near = semantic_prune(near, similarity)
-    capped = cut(fan_out(near, FAN_OUT, similarity is not None).select("src", "dst", "edge_type", "rank", "hidden"))
-    hops = reach(capped, starts, clamp_depth(depth) - 1)
-    return hops.join(capped, F.col("node") == F.col("src")).select("root", (F.col("hop") + 1).alias("hop"), "src", "dst", "edge_type", "rank", "hidden")
+    check_types(edge_types)
+    level = visited = cut(starts.select("root", "node").distinct().withColumn("hop", F.lit(0)))
+    before, capped, shown = None, None, []
+    for hop in range(1, clamp_depth(depth) + 1):
+        nodes = level.select(F.col("node").alias("src")).distinct()
+        if before is not None:
+            nodes = nodes.join(before.select(F.col("node").alias("src")), "src", "left_anti")
+        own = edges.join(small_rows(cut(nodes), "src"), "src", "left_semi")
+        near = layer_pass(adjacency(own, edge_types), symbols, layer)
+        if similarity is not None:
+            near = semantic_prune(near, similarity)
+        found = cut(fan_out(cut(near), FAN_OUT, similarity is not None).select("src", "dst", "edge_type", "rank", "hidden"))
+        capped = found if capped is None else capped.unionByName(found)
+        edges_of_level = level.join(capped, F.col("node") == F.col("src"))
+        shown.append(edges_of_level.select("root", (F.col("hop") + 1).alias("hop"), "src", "dst", "edge_type", "rank", "hidden"))
+        if hop == clamp_depth(depth):
+            break
+        ahead = edges_of_level.select("root", F.col("dst").alias("node")).distinct()
+        before = visited
+        level = cut(ahead.join(visited.select("root", "node"), ["root", "node"], "left_anti").withColumn("hop", F.lit(hop)))
+        if level.isEmpty():
+            break
+        visited = visited.unionByName(level)
+    return reduce(DataFrame.unionByName, shown)
 
 
 def scope_callers(refs: DataFrame, imports: DataFrame) -> DataFrame:

@@ -239,7 +239,7 @@ def callers_by_distance(spark: SparkSession, sf: str) -> DataFrame:
 )
 def graph_down_capped(spark: SparkSession, sf: str) -> DataFrame:
     none = spark.createDataFrame([], "name string, file string")
-    return G.down_capped(link_edges(spark, sf).withColumn("ord", F.lit(0).cast("bigint")), none, _start(spark, "c1"), 4)
+    return G.down_capped(link_edges(spark, sf, False).withColumn("ord", F.lit(0).cast("bigint")), none, _start(spark, "c1"), 4)
 
 
 # vectors

@@ -8,6 +8,7 @@ from graphloom.operators import graph as G
 from graphloom.operators import index_build as D
 from graphloom.plans import render
 from graphloom.plans.api import Index
+from graphloom.plans.session import small_rows
 
 EDGE = "src string, dst string, file string, edge_type string, ord bigint"
 
@@ -123,3 +124,18 @@ def test_up_tree_of_index(spark):
             index.graph(bad, "down")
     tree = render.up_rows({("f", "one.ts"): [("a.ts", "g", ["g"])], ("g", "a.ts"): [("b.ts", "h", ["h"])]}, "f", "one.ts", 3)
     assert tree == [(1, "g", "a.ts", False), (2, "h", "b.ts", False)]
+
+
+@pytest.mark.parametrize("limit", [1 << 24, 0])
+def test_capped_walk_ranks_only_what_it_reaches(spark, monkeypatch, limit):
+    edges = [("a", f"b{k}") for k in range(9)] + [("b0", "a"), ("b0", "b1"), ("b1", "c"), ("b8", "z"), ("c", "d"), ("d", "e")] + [(f"x{k}", f"y{k}") for k in range(200)]
+    seen, plain = [], G.adjacency
+    monkeypatch.setattr(G, "adjacency", lambda e, types=None: (seen.append(e.count()), plain(e, types))[1])
+    monkeypatch.setattr(G, "small_rows", lambda df, column: small_rows(df, column, limit))
+    none = spark.createDataFrame([], "name string, file string")
+    both = spark.createDataFrame([("a", "a"), ("b1", "b1")], "root string, node string")
+    rows = {(r["root"], r["hop"], r["src"], r["dst"], r["hidden"]) for r in G.down_capped(frame(spark, edges + edges), none, both, 4).collect()}
+    tree = {("a", 1, "a", f"b{k}", 3) for k in range(6)} | {("a", 2, "b0", "a", 0), ("a", 2, "b0", "b1", 0), ("a", 2, "b1", "c", 0), ("a", 3, "c", "d", 0), ("a", 4, "d", "e", 0)}
+    assert rows == tree | {("b1", 1, "b1", "c", 0), ("b1", 2, "c", "d", 0), ("b1", 3, "d", "e", 0)}
+    # both copies of the edges of a, b1, b0, c and d, once each
+    assert sum(seen) == 2 * (9 + 1 + 2 + 1 + 1)
